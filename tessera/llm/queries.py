@@ -5,12 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe
+from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, urlrules
 from tessera.llm.common import table
 
 #: Where the vocabulary files are; the package that has them is looked up when a query runs.
 BYTE_BPE = "byte_bpe_50k.json"
+#: Rules of op8: verdict, host, path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing.plan(table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~out))
+    return langid.identify(docs, model).select("doc_id", out.alias("held_out"), "lang_pred", "score", "languages")
+
+
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,7 +53,36 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
+    "op3_secrets": op3_secrets,
+    "op5_mixing": op5_mixing,
+    "op6_sharding": op6_sharding,
+    "op7_langid": op7_langid,
+    "op8_urls": op8_urls,
     "op10_bpe": op10_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_mixing": r"""
+        with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+        sums as (select source, sum(size)::bigint as source_size from sized group by source),
+        weighted as (select *, 2.0::double * source_size as cap,
+                            [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as w from sums),
+        level as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over (ranked rows between unbounded preceding and 1 preceding), 0.0::double))
+                            / sum(w) over (ranked rows between current row and unbounded following) as l
+                  from weighted window ranked as (order by cap / w asc, source asc nulls last)),
+        firsts as (select *, first_value(case when not cap <= w * l then l end ignore nulls) over (order by cap / w asc, source asc nulls last rows between unbounded preceding and current row) as f from level),
+        goal as (select source, source_size, coalesce(w * f, cap) as target from firsts),
+        rated as (select s.doc_id, s.source, s.size, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0.0::double end as rate
+                  from sized s join goal g on s.source is not distinct from g.source),
+        drawn as (select *, ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::varchar, 'null'), coalesce(source, 'null'), size::varchar)), 1, 13))::bigint::double / 4503599627370496.0::double as u from rated)
+        select doc_id, size, source_size, target, (size * (floor(rate)::bigint + (u < rate - floor(rate))::bigint))::bigint as taken from drawn""",
+    "op8_urls": r"""
+        with rules(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+        rest as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        parts as (select row_number() over () as n, page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from rest),
+        fits as (select p.n, arg_max(rhost || rpath, length(rhost || rpath) * 1000 + length(rhost)) as rule, arg_max(verdict, length(rhost || rpath) * 1000 + length(rhost)) as verdict
+                 from parts p join rules on (host = rhost or ends_with(host, '.' || rhost)) and starts_with(path, rpath) group by p.n)
+        select page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from parts left join fits using (n)""",
+}
