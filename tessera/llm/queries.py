@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, mixing, quality, secrets, sharding, urlrules
+from tessera.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, urlrules
 from tessera.llm.common import table
 
 #: Where the vocabulary files are; the package that has them is looked up when a query runs.
@@ -25,6 +25,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan(table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -55,6 +59,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_secrets": op3_secrets,
+    "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
