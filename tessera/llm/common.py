@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +34,37 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, df_path: str) -> None:
-    """Remove a table that ``cut`` has written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(df_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
+    """A fixed number of bits, packed low bit first, with those at ``places`` (one long column) set.
 
+    Pieces of 8 KB are put together by the executors; the driver gets bits / 8 bytes at most, whatever
+    the number of places.
+    """
 
-def path_of(df: DataFrame) -> str:
-    """Where ``cut`` has put df."""
-    return df.inputFiles()[0].rsplit("/", 1)[0]
+    def pieces(batches):
+        have: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            for k in np.unique(at >> 16).tolist():
+                piece = have.setdefault(k, np.zeros(1 << 16, dtype=bool))
+                piece[at[at >> 16 == k] & 0xFFFF] = True
+            if len(have) > 1024:  # keep what one task holds small
+                yield packed(have)
+                have = {}
+        yield packed(have)
+
+    def packed(have):
+        raw = [np.packbits(x, bitorder="little").tobytes() for x in have.values()]
+        return pa.RecordBatch.from_arrays([pa.array(list(have), pa.int64()), pa.array(raw, pa.binary())], names=["k", "bits"])
+
+    column = F.col(places.columns[0])
+    dealt = places.select(column.alias("at")).repartitionByRange(16, F.shiftright("at", 16)).sortWithinPartitions("at")
+    out = np.zeros(bits >> 3, dtype=np.uint8)
+    for k, raw in dealt.mapInArrow(pieces, "k long, bits binary").toLocalIterator():
+        out[k << 13 : (k + 1) << 13] |= np.frombuffer(raw, dtype=np.uint8)
+    return out
+
+
+def has_bit(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Which places ``bit_filter`` has set."""
+    return (packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1

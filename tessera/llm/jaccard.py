@@ -16,14 +16,12 @@ filtering. Within a region documents are close, and pivots work.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import bit_filter, cut, has_bit
 from tessera.llm.graph import components
 from tessera.llm.textkit import Words, mix, ngram_hashes, slices, text_buffers
 
@@ -252,8 +250,7 @@ def _sets_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> Dat
             for i, j in slices(offsets):
                 sets = Sets(Words(data, offsets, i, j), n)
                 k1, k2 = sets.digests()
-                at = _filter_place(ids.slice(i, j - i), k1)
-                rows = np.flatnonzero((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 & (sets.size > 0))
+                rows = np.flatnonzero(has_bit(bits, _filter_place(ids.slice(i, j - i), k1)) & (sets.size > 0))
                 if len(rows):
                     keys = [_key(a, b) for a, b in zip(k1[rows].tolist(), k2[rows].tolist(), strict=True)]
                     raw = [sets.values[sets.start[r] : sets.start[r] + sets.size[r]].astype("<u8").tobytes() for r in rows]
@@ -277,11 +274,7 @@ def _filter(members: DataFrame) -> np.ndarray:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(_filter_place(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)))], names=["at"])
 
-    words = members.select("h", "k1").mapInArrow(run, "at long").groupBy(F.shiftright("at", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 32 as int))")).alias("bits"))
-    out = np.zeros(FILTER_BITS // 32, dtype="<u4")
-    for w, bits in words.toLocalIterator():
-        out[w] = bits
-    return out.view(np.uint8)
+    return bit_filter(members.select("h", "k1").mapInArrow(run, "at long"), FILTER_BITS)
 
 
 def _chunked(big: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:

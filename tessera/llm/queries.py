@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, langid, mixing, quality, secrets, sharding, urlrules
+from tessera.llm import bpe, jaccard, langid, mixing, quality, rabitq, secrets, sharding, urlrules
 from tessera.llm.common import table
 
 #: Where the vocabulary files are; the package that has them is looked up when a query runs.
@@ -50,6 +50,10 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rabitq.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": op6_sharding,
     "op7_langid": op7_langid,
     "op8_urls": op8_urls,
+    "op9_embeddings": op9_embeddings,
     "op10_bpe": op10_bpe,
 }
 
