@@ -17,9 +17,11 @@ filtering. Within a region documents are close, and pivots work.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.common import bit_filter, cut, has_bit
 from tessera.llm.graph import components
@@ -341,6 +343,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     with a null id (component_id null). Rows that share an id but not a text are nodes of their own.
     A region of over ``region_limit`` sets or ``region_tokens`` shingles goes through ``_chunked``.
     """
+    found = _groups(docs, id_col, text_col, n, percent, region_limit, region_tokens)
+    alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, region_limit: int = 20_000, region_tokens: int = 6_000_000) -> DataFrame:
+    """Per row: id, n_shingles, k1, k2 (its set), and component with component_id, null for rows linked with nothing by rule."""
     spark = docs.sparkSession
     counters = spark.sparkContext.broadcast(frequencies(docs, text_col, n))
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
@@ -368,7 +377,46 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
     named = nodes.withColumn("node", key).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.select("k1", "k2", "component").join(least, "component").select("k1", "k2", "component_id")
-    found = sized.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(known, ["k1", "k2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    known = named.select("k1", "k2", "component").join(least, "component").select("k1", "k2", "component", "component_id")
+    return sized.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(known, ["k1", "k2"], "left")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, less all but one document of each linked group.
+
+    The one of the smallest id stays; of several rows with that id, one of those with the least set. A
+    row without words or without an id stays. Rows that may go are found by a bit filter of fixed size,
+    so the texts of the others are not shuffled.
+    """
+    rows = cut(_groups(docs, id_col, text_col, n, percent).where("id is not null and n_shingles > 0").select("id", "k1", "k2", "component"), "groups")
+    chosen = rows.groupBy("component").agg(F.min(F.struct("id", "k1", "k2")).alias("c")).select("c.*", F.lit(1).alias("c"))
+    marked = rows.join(chosen, ["id", "k1", "k2"], "left")
+    counted = marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("c").alias("staying"))
+    touched = cut(counted.where("rows > 1 or staying = 0").select("id"), "touched")
+    staying = chosen.select(F.col("id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(touched.select(place(F.col("id")).alias("at")), FILTER_BITS))
+
+    @F.pandas_udf("boolean")
+    def may_go(at: pd.Series) -> pd.Series:
+        return pd.Series(has_bit(bits.value, at.to_numpy()))
+
+    at = docs.columns.index(text_col)
+    names = [*docs.columns, "_set1", "_set2", "_words"]
+
+    def digest(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            for i, j in slices(offsets):
+                sets = Sets(Words(data, offsets, i, j), n)
+                k1, k2 = sets.digests()
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(k1), pa.array(k2), pa.array(sets.size.astype(np.int64))], names=names)
+
+    flagged = docs.withColumn("_may_go", F.col(id_col).isNotNull() & may_go(F.coalesce(place(F.col(id_col)), F.lit(0).cast("long"))))
+    sure = flagged.where("not _may_go").select(*docs.columns)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[-3:])])
+    rest = flagged.where("_may_go").select(*docs.columns).mapInArrow(digest, schema)
+    same = (F.col(id_col) == F.col("_id")) & (F.col("_set1") == F.col("_k1")) & (F.col("_set2") == F.col("_k2"))
+    empty = rest.where("_words = 0").select(*docs.columns)
+    judged = rest.where("_words > 0").join(staying, same, "left_semi").dropDuplicates([id_col, "_set1", "_set2"]).select(*docs.columns)
+    return sure.union(empty).union(judged)

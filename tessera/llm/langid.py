@@ -150,6 +150,23 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mi
     return MixtureModel(counts(docs, text_col, lang_col).toPandas())
 
 
+def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
+    """Language, score and language set of each text."""
+    data, offsets = text_buffers(column)
+    pred, score, sets = ["und"] * len(column), np.zeros(len(column)), [""] * len(column)
+    for i, j in slices(offsets) if model.langs else ():
+        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
+        plain = letters[at[1:]] > letters[at[:-1]]
+        rows, weight = model.infer(part, at)
+        order = np.argsort(-weight, axis=1, kind="stable")
+        for r, w, o in zip(rows.tolist(), weight.tolist(), order.tolist(), strict=True):
+            if plain[r] or any(c.isalpha() for c in bytes(part[at[r] : at[r + 1]]).decode()):
+                pred[i + r], score[i + r] = model.langs[o[0]], min(1.0, w[o[0]])
+                sets[i + r] = ",".join(f"{model.langs[k]}:{w[k]:.4f}" for k in o if w[k] > 0)
+    return pred, score, sets
+
+
 def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, lang_pred, score and languages of every whole text.
 
@@ -162,25 +179,26 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        model = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column(1))
-            pred, score, sets = ["und"] * batch.num_rows, np.zeros(batch.num_rows), [""] * batch.num_rows
-            for i, j in slices(offsets) if model.langs else ():
-                part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
-                plain = letters[at[1:]] > letters[at[:-1]]
-                rows, weight = model.infer(part, at)
-                order = np.argsort(-weight, axis=1, kind="stable")
-                for r, w, o in zip(rows.tolist(), weight.tolist(), order.tolist(), strict=True):
-                    if plain[r] or any(c.isalpha() for c in bytes(part[at[r] : at[r + 1]]).decode()):
-                        pred[i + r], score[i + r] = model.langs[o[0]], min(1.0, w[o[0]])
-                        sets[i + r] = ",".join(f"{model.langs[k]}:{w[k]:.4f}" for k in o if w[k] > 0)
+            pred, score, sets = _judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[id_col, "lang_pred", "score", "languages"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, languages string")
 
 
+def keep(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text has a language with a share of ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            pred, score, _ = _judged(shared.value, batch.column(place))
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_: Column) -> Column:
     """Whether a document's text and language are kept from training: crc32 of its id as text mod 4 is 2; false for a null id."""
     return F.coalesce(F.crc32(id_.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.common import cut
+
+#: Rows that a broadcast may have: about 10 MB of source names and rates.
+FEW = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,23 +55,25 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     sized = docs.select(
         F.col(id_col), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")).alias("size")
     )
-    goal = targets(sized, weights, total, cap).withColumnRenamed("source", "_source")
+    goal = _small(targets(sized, weights, total, cap).withColumnRenamed("source", "_source"))
     joined = sized.join(goal, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     extra = uniform(F.col(id_col), F.col("source"), F.col("size"), seed=seed) < F.col("_rate") - F.floor("_rate")
     return joined.withColumn("_rate", rate).withColumn("copies", F.floor("_rate") + extra.cast("long")).drop("_rate")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself: each row of docs as often as ``plan`` says, all its columns kept."""
-    sized = docs.withColumn("_size", F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long")))
-    seed = options.pop("seed", "mix")
-    goal = targets(sized.select(F.col(source_col).alias("source"), F.col("_size").alias("size")), options.pop("weights", (5, 2, 1)), options.pop("total", 1.5), options.pop("cap", 2.0))
-    goal = goal.select(F.col("source").alias("_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_rate"))
-    extra = uniform(F.col(id_col), F.col(source_col), F.col("_size"), seed=seed) < F.col("_rate") - F.floor("_rate")
-    copies = (F.floor("_rate") + extra.cast("long")).cast("int")
-    return (
-        sized.join(F.broadcast(goal) if options.get("few_sources") else goal, F.col(source_col).eqNullSafe(F.col("_source")))
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies)))
-        .select(*docs.columns)
-    )
+def _small(goal: DataFrame) -> DataFrame:
+    """goal, written once; to be broadcast if it has at most FEW rows, else left to a shuffled join."""
+    goal = cut(goal, "targets")
+    return F.broadcast(goal) if goal.count() <= FEW else goal
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (5, 2, 1), total: float = 1.5, cap: float = 2.0, seed: str = "mix") -> DataFrame:
+    """The mix itself: each row of docs as often as ``plan`` says, with all its columns and no others."""
+    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+    goal = targets(docs.select(F.col(source_col).alias("source"), size.alias("size")), weights, total, cap)
+    goal = _small(goal.select(F.col("source").alias("_mix_source"), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0).alias("_mix_rate")))
+    extra = uniform(F.col(id_col), F.col(source_col), size, seed=seed) < F.col("_mix_rate") - F.floor("_mix_rate")
+    copies = (F.floor("_mix_rate") + extra.cast("long")).cast("int")
+    dealt = docs.join(goal, F.col(source_col).eqNullSafe(F.col("_mix_source")))
+    return dealt.withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(1), copies))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, langid, mixing, quality, rabitq, secrets, sharding, urlrules
+from tessera.llm import bpe, jaccard, langid, mixing, quality, rabitq, secrets, sharding, suffixes, urlrules
 from tessera.llm.common import table
 
 #: Where the vocabulary files are; the package that has them is looked up when a query runs.
@@ -21,6 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_suffixes": op2_suffixes,
     "op3_secrets": op3_secrets,
     "op4_jaccard": op4_jaccard,
     "op5_mixing": op5_mixing,

@@ -223,9 +223,9 @@ def repeated_starts(group: np.ndarray, context: list[bytes], before: np.ndarray,
             found = np.flatnonzero(repeated)
             found = found[np.lexsort((offset[found], which[found]))]
             c, o = which[found], offset[found]
-            new = np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1))
+            new = np.append(True, (c[1:] != c[:-1]) | (o[1:] != o[:-1] + 1))[: len(c)]
             begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(c)) - 1
+            end = np.append(begin[1:], len(c))[: len(begin)] - 1
             for b, e in zip(begin.tolist(), end.tolist(), strict=True):
                 out[c[b]].append((int(o[b]), int(o[e])))
     return out
