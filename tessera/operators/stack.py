@@ -58,6 +58,6 @@ def noise_variance(metered: DataFrame, base: float) -> DataFrame:
 
 
 def normal_equations(df: DataFrame, columns: list[str], target: str, keys: list[str] | None = None) -> DataFrame:
-    """Sums of products of columns with each other and with the target: one aggregation, partial on the map side."""
+    """Sums of products of columns with each other (a_b) and with the target (a_rhs): one aggregation, partial on the map side."""
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(columns) for b in columns[i:]]
-    return df.groupBy(*(keys or [])).agg(*sums, *(F.sum(F.col(a) * F.col(target)).alias(f"{a}_{target}") for a in columns), F.count(F.lit(1)).alias("n"))
+    return df.groupBy(*(keys or [])).agg(*sums, *(F.sum(F.col(a) * F.col(target)).alias(f"{a}_rhs") for a in columns), F.count(F.lit(1)).alias("n"))
