@@ -16,10 +16,12 @@ filtering. Within a region documents are close, and pivots work.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,8 +29,10 @@ from tessera.llm.common import bit_filter, cut, has_bit
 from tessera.llm.graph import components
 from tessera.llm.textkit import Words, mix, ngram_hashes, slices, text_buffers
 
-COUNTERS = 1 << 23
+COUNTERS = 1 << 25
 CHUNK = 1 << 16
+#: Documents of a large region that one task measures against its pivots; rows of a table that is broadcast.
+PIECE, FEW = 2000, 500_000
 FILTER_BITS = 1 << 26
 
 
@@ -70,9 +74,9 @@ def _sequence(hashes: np.ndarray) -> int:
 
 
 def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """COUNTERS document frequencies of all shingles, each counter that of all shingles with its hash; at most 65,535.
+    """COUNTERS document frequencies of all shingles, each counter that of all shingles with its hash; at most 255.
 
-    What is shuffled is a byte for each counter and task, what the driver gets 16 MB, whatever the corpus.
+    What is shuffled is a packed byte for each counter and task, what the driver gets 32 MB, whatever the corpus.
     """
 
     def count(batches):
@@ -80,34 +84,42 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         for batch in batches:
             data, offsets = text_buffers(batch.column(0))
             for i, j in slices(offsets):
-                at, times = np.unique(Sets(Words(data, offsets, i, j), n).values >> np.uint64(41), return_counts=True)
-                at = at.astype(np.int64)
+                at, times = np.unique(_counter(Sets(Words(data, offsets, i, j), n).values), return_counts=True)
                 total[at] = np.minimum(total[at] + times, 255)
         for k in range(0, COUNTERS, CHUNK):
             if total[k : k + CHUNK].any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([total[k : k + CHUNK].tobytes()], pa.binary())], names=["k", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(total[k : k + CHUNK], 1)], pa.binary())], names=["k", "n"])
 
     def add(batches):
         have: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                part = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-                have[k] = have[k] + part if k in have else part.astype(np.int64)
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                part = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+                have[k] = np.minimum(have[k].astype(np.uint16) + part, 255).astype(np.uint8) if k in have else part
         for k, n_ in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(n_, 65535).astype("<u2").tobytes()], pa.binary())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n_.tobytes()], pa.binary())], names=["k", "n"])
 
     parts = docs.select(text_col).mapInArrow(count, "k int, n binary").repartition(16, "k").mapInArrow(add, "k int, n binary")
-    out = np.zeros(COUNTERS, dtype=np.uint16)
+    out = np.zeros(COUNTERS, dtype=np.uint8)
     for k, raw in parts.toLocalIterator():
-        out[k : k + CHUNK] = np.frombuffer(raw, dtype="<u2")
+        out[k : k + CHUNK] = np.frombuffer(raw, dtype=np.uint8)
     return out
 
 
+def _counter(values: np.ndarray) -> np.ndarray:
+    return (values >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     """How many of n shingles must be looked at so that a partner of that similarity shares one."""
     return n - (percent * n + 99) // 100 + 1
 
 
+def index_size(n: Column, percent: int) -> Column:
+    """The same for partners of at least that size: the shorter set of a pair need not offer more of its prefix."""
+    return n - F.ceil(2 * percent * n / F.lit(100 + percent) - 1e-9) + 1
+
+
 def signatures(docs: DataFrame, counters, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
     """id, size, k1, k2 (digest of the set) and the prefix of each document."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -119,7 +131,7 @@ def signatures(docs: DataFrame, counters, id_col: str, text_col: str, n: int, pe
             for i, j in slices(offsets):
                 sets = Sets(Words(data, offsets, i, j), n)
                 k1, k2 = sets.digests()
-                order = np.lexsort((sets.values, table[(sets.values >> np.uint64(41)).astype(np.int64)], sets.row))
+                order = np.lexsort((sets.values, table[_counter(sets.values)], sets.row))
                 take = np.where(sets.size * (100 - percent) >= percent, prefix_size(sets.size, percent), 0)  # smaller sets have only equal partners
                 place = np.arange(len(sets.values)) - sets.start[sets.row]
                 some = sets.values[order][place < take[sets.row]].view(np.int64)
@@ -223,17 +235,24 @@ class RegionJoin:
                 self.distances(int(docs[x]), docs[open_])
 
 
-def _links(table: pa.Table, percent: int, crossed: bool) -> pa.Table:
-    """The forest of a region or of a pair of chunks: a, b."""
+def sets_of(texts: pa.Array | pa.ChunkedArray, n: int) -> list[np.ndarray]:
+    """The set of each text."""
+    data, offsets = text_buffers(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
+    out: list[np.ndarray] = []
+    for i, j in slices(offsets):
+        sets = Sets(Words(data, offsets, i, j), n)
+        out += [sets.values[a : a + m] for a, m in zip(sets.start.tolist(), sets.size.tolist(), strict=True)]
+    return out
+
+
+def _links(table: pa.Table, n: int, percent: int) -> pa.Table:
+    """The forest of a region, or of a pair of chunks whose documents come with what they are known to be connected with."""
     keys = table.column("key").to_pylist()
     order = sorted(range(len(keys)), key=keys.__getitem__)
     order = [k for i, k in enumerate(order) if not i or keys[k] != keys[order[i - 1]]]
-    sets = table.column("set").combine_chunks()
-    sets = [np.frombuffer(sets[k].as_buffer(), dtype="<u8") for k in order]
-    join = RegionJoin(sets, percent)
-    if crossed and "root" in table.column_names:
-        roots = table.column("root").to_pylist()
-        known = {}
+    join = RegionJoin(sets_of(table.column("text").take(pa.array(order)), n), percent)
+    if "root" in table.column_names:
+        roots, known = table.column("root").to_pylist(), {}
         for i, k in enumerate(order):
             join.root[i] = known.setdefault(roots[k], i)
     root = join.run()
@@ -241,8 +260,11 @@ def _links(table: pa.Table, percent: int, crossed: bool) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
-def _sets_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> DataFrame:
-    """k1, key and set of the documents that the filter ``chosen`` has, and few others."""
+def _texts_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> DataFrame:
+    """k1, key and text of the documents that the filter ``chosen`` has, and few others.
+
+    Texts and not sets go on: packed, they are a third of their shingles' hashes.
+    """
 
     def run(batches):
         bits = chosen.value
@@ -255,10 +277,9 @@ def _sets_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> Dat
                 rows = np.flatnonzero(has_bit(bits, _filter_place(ids.slice(i, j - i), k1)) & (sets.size > 0))
                 if len(rows):
                     keys = [_key(a, b) for a, b in zip(k1[rows].tolist(), k2[rows].tolist(), strict=True)]
-                    raw = [sets.values[sets.start[r] : sets.start[r] + sets.size[r]].astype("<u8").tobytes() for r in rows]
-                    yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["k1", "key", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(keys, pa.binary()), batch.column(1).take(pa.array(rows + i))], names=["k1", "key", "text"])
 
-    return docs.select(F.xxhash64(id_col).alias("h"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "k1 long, key binary, set binary")
+    return docs.select(F.xxhash64(id_col).alias("h"), text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, "k1 long, key binary, text string")
 
 
 def _key(k1: int, k2: int) -> bytes:
@@ -279,50 +300,56 @@ def _filter(members: DataFrame) -> np.ndarray:
     return bit_filter(members.select("h", "k1").mapInArrow(run, "at long"), FILTER_BITS)
 
 
-def _chunked(big: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _chunked(big: DataFrame, n: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """Regions too large for one task: links with pivots, and what remains as pairs of chunks.
 
-    big: region, key, set. Every document is measured against up to 16 pivots of its region (those of
-    least key). Links with pivots give connected parts. A chunk holds documents of one nearest pivot
-    and part; chunks of one part need no comparison, nor do those whose distances to some pivot lie
-    further apart than a link can be. The rest is compared pair of chunks by pair of chunks.
+    big: region, m (documents of the region), key, text. Every document is measured against up to 17
+    pivots of its region, piece by piece of at most PIECE documents. Links with pivots give connected
+    parts. A chunk holds documents of one nearest pivot and part; chunks of one part need no comparison,
+    nor do those whose distances to some pivot lie further apart than a link can be. The rest is compared
+    pair of chunks by pair of chunks.
     """
     radius = 1 - percent / 100 + 1e-12
-    ranked = big.groupBy("region").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.hash("key"), F.lit(64)) == 0, F.col("key")))), 1, 16).alias("few"), F.min("key").alias("least"))
+    pieces = F.ceil(F.col("m") / F.lit(PIECE)).cast("long")
+    few = F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("key"), F.greatest((F.col("m") / 64).cast("long"), F.lit(1))) == 0, F.col("key")))), 1, 16)
+    ranked = big.groupBy("region").agg(few.alias("few"), F.min("key").alias("least"), F.max("m").alias("m"))
     pivots = ranked.select("region", F.explode(F.array_union(F.array("least"), "few")).alias("key")).join(big, ["region", "key"])
-    pivots = cut(pivots.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("key", "set"))).alias("pivots")), "pivots")
-
-    def measure(batches):
-        for batch in batches:
-            cells, lows, linked = [], [], []
-            for raw, near in zip(batch.column(2), batch.column(3), strict=True):
-                mine = np.frombuffer(raw.as_buffer(), dtype="<u8")
-                d, hit = [], None
-                for p in near.as_py():
-                    other = np.frombuffer(p["set"], dtype="<u8")
-                    both = int(np.isin(mine, other, assume_unique=True).sum())
-                    union = len(mine) + len(other) - both
-                    d.append(1 - both / union)
-                    if hit is None and 100 * both >= percent * union:
-                        hit = p["key"]
-                cells.append(int(np.argmin(d)))
-                lows.append(d)
-                linked.append(hit)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cells, pa.int32()), pa.array(lows, pa.list_(pa.float64())), pa.array(linked, pa.binary())], names=["region", "key", "set", "cell", "d", "pivot"])
-
-    kind = big.schema["region"].dataType.simpleString()
-    measured = big.join(pivots, "region").select("region", "key", "set", "pivots").mapInArrow(measure, f"region {kind}, key binary, set binary, cell int, d array<double>, pivot binary")
+    pivots = cut(pivots.select("region", "m", "key", "text"), "pivots").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)))
+    pieced = big.withColumn("piece", F.pmod(F.xxhash64("key"), pieces))
+
+    def measure(table: pa.Table, near: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return empty
+        near = near.sort_by("key")
+        others, names = sets_of(near.column("text"), n), near.column("key").to_pylist()
+        cells, far, linked = [], [], []
+        for mine in sets_of(table.column("text"), n):
+            d, hit = [], None
+            for name, other in zip(names, others, strict=True):
+                both = int(np.isin(mine, other, assume_unique=True).sum())
+                union = len(mine) + len(other) - both
+                d.append(1 - both / union)
+                if hit is None and 100 * both >= percent * union:
+                    hit = name
+            cells.append(int(np.argmin(d)))
+            far.append(d)
+            linked.append(hit)
+        columns = [table.column(c) for c in ("region", "key", "text")]
+        return pa.table([*columns, pa.array(cells, pa.int32()), pa.array(far, pa.list_(pa.float64())), pa.array(linked, pa.binary())], names=["region", "key", "text", "cell", "d", "pivot"])
+
+    empty = pa.table({"region": pa.array([], pa.int64()), "key": pa.array([], pa.binary()), "text": pa.array([], pa.string()), "cell": pa.array([], pa.int32()), "d": pa.array([], pa.list_(pa.float64())), "pivot": pa.array([], pa.binary())})
+    measured = pieced.groupBy("region", "piece").cogroup(pivots.groupBy("region", "piece")).applyInArrow(measure, "region long, key binary, text string, cell int, d array<double>, pivot binary")
     measured = cut(measured, "measured")
     stars = measured.where("pivot is not null and pivot != key").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     parts = components(stars)
-    placed = measured.join(parts.withColumnRenamed("node", "key"), "key", "left").select("region", "key", "set", "cell", "d", F.coalesce("component", "key").alias("root"))
+    placed = measured.join(parts.withColumnRenamed("node", "key"), "key", "left").select("region", "key", "text", "cell", "d", F.coalesce("component", "key").alias("root"))
     # documents of one large part stand together, the rest of a cell in mixed chunks
     sizes = placed.groupBy("region", "cell", "root").agg(F.count(F.lit(1)).alias("n"))
     placed = placed.join(sizes, ["region", "cell", "root"]).withColumn("group", F.when(F.col("n") * 4 >= limit, F.col("root")))
     groups = placed.groupBy("region", "cell", "group").agg(F.count(F.lit(1)).alias("m"))
     placed = placed.join(groups.select(F.col("region").alias("_r"), F.col("cell").alias("_c"), F.col("group").alias("_g"), "m"), (F.col("region") == F.col("_r")) & (F.col("cell") == F.col("_c")) & F.col("group").eqNullSafe(F.col("_g")))
     piece = F.pmod(F.xxhash64("key"), F.ceil(F.col("m") * 2 / F.lit(limit)).cast("long"))
-    placed = placed.select("region", "key", "set", "d", "root", "group", F.xxhash64("region", "cell", "group", piece).alias("chunk"))
+    placed = placed.select("region", "key", "text", "d", "root", "group", F.xxhash64("region", "cell", "group", piece).alias("chunk"))
     placed = cut(placed, "placed")
     spread = placed.select("region", "chunk", "group", F.posexplode("d").alias("p", "x")).groupBy("region", "chunk", "group", "p").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     spread = cut(spread.groupBy("region", "chunk", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "low", "high"))), lambda s: F.struct(s["low"], s["high"])).alias("w")), "spread")
@@ -330,7 +357,7 @@ def _chunked(big: DataFrame, percent: int, limit: int) -> tuple[DataFrame, DataF
     apart = F.exists(F.zip_with("wa", "wb", lambda x, y: (x["low"] > y["high"] + radius) | (y["low"] > x["high"] + radius)), lambda t: t)
     open_ = left.join(right, "region").where((F.col("ca") <= F.col("cb")) & ~(F.col("ga").isNotNull() & F.col("ga").eqNullSafe(F.col("gb"))) & ~apart).select(F.xxhash64("ca", "cb").alias("pair"), "ca", "cb")
     each = open_.select("pair", F.explode(F.array_distinct(F.array("ca", "cb"))).alias("chunk"))
-    return stars, placed.select("chunk", "key", "set", "root").join(each, "chunk").select("pair", "key", "set", "root")
+    return stars, placed.select("chunk", "key", "text", "root").join(each, "chunk").select("pair", "key", "text", "root")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, region_limit: int = 20_000, region_tokens: int = 6_000_000) -> DataFrame:
@@ -354,25 +381,25 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, r
     counters = spark.sparkContext.broadcast(frequencies(docs, text_col, n))
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
     nodes = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("size").alias("size")), "sets")
-    seen = sized.where("id is not null").select("k1", F.explode("prefix").alias("sig"))
-    common = seen.groupBy("sig").agg(F.min("k1").alias("hub"), F.max("k1").alias("last")).where("hub < last").select("sig", "hub")
-    stars = seen.join(common, "sig").where("k1 > hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
+    seen = sized.where("id is not null").select("k1", "size", F.posexplode("prefix").alias("at", "sig"))
+    hubs = seen.where(F.col("at") < index_size(F.col("size"), percent)).groupBy("sig").agg(F.min("k1").alias("hub"))
+    stars = seen.select("k1", "sig").join(hubs, "sig").where("k1 != hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
     regions = components(stars).select(F.col("node").alias("k1"), F.col("component").alias("region"))
-    members = nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(regions, "k1")
-    members = cut(members, "members")
+    members = cut(nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(regions, "k1"), "members")
     chosen = spark.sparkContext.broadcast(_filter(members))
-    extent = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t")).withColumn("big", (F.col("m") > region_limit) | (F.col("t") > region_tokens))
-    extent = cut(extent, "extent")
-    of = members.select("k1", "region").distinct().join(extent.select("region", "big"), "region")
-    sets = _sets_of(docs, chosen, id_col, text_col, n).join(of, "k1")
-    has_big = not extent.where("big").isEmpty()
-    small = sets.where("not big") if has_big else sets
+    extent = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t"))
+    of = cut(members.select("k1", "region").distinct().join(extent, "region").withColumn("big", (F.col("m") > region_limit) | (F.col("t") > region_tokens)), "regions")
+    small_table = of.count() <= FEW  # at most 20 MB; a larger table is joined by a shuffle
+    texts = _texts_of(docs, chosen, id_col, text_col, n).join(F.broadcast(of) if small_table else of, "k1")
+    has_big = not of.where("big").isEmpty()
     edge = "a binary, b binary"
-    links = small.select("region", "key", "set").groupBy("region").applyInArrow(lambda t: _links(t, percent, False), edge)
     if has_big:
-        big = cut(sets.where("big").select("region", "key", "set").dropDuplicates(["key"]), "big")
-        pivot_links, pairs = _chunked(big, percent, region_limit)
-        links = links.union(pivot_links.select("a", "b")).union(pairs.groupBy("pair").applyInArrow(lambda t: _links(t, percent, True), edge))
+        texts = cut(texts, "candidates")
+    links = texts.where("not big").select("region", "key", "text").groupBy("region").applyInArrow(lambda t: _links(t, n, percent), edge)
+    if has_big:
+        big = cut(texts.where("big").select("region", "m", "key", "text").dropDuplicates(["key"]), "big")
+        pivot_links, pairs = _chunked(big, n, percent, region_limit)
+        links = links.union(pivot_links.select("a", "b")).union(pairs.groupBy("pair").applyInArrow(lambda t: _links(t, n, percent), edge))
     parts = components(links)
     key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
     named = nodes.withColumn("node", key).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
