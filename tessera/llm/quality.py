@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tessera.llm.textkit import Words, mix, ngram_hashes, prefix_hashes, slices, span_hash, text_buffers
 
 SYMBOLS = b"#*$%&|<>"
-#: Line features are shares and sizes cut at these bounds; the last ones say where a line stands.
-SHARES = (0.02, 0.1, 0.25, 0.5)
+#: Line features say which of these bounds a share or a size is over; the last ones where a line stands.
+SHARES = (0.02, 0.06, 0.12, 0.25, 0.5)
 SIZES = (1, 4, 12, 40)
 _CLASS = np.zeros(256, dtype=np.uint8)
 _CLASS[65:91] = 1  # upper case
@@ -21,7 +21,7 @@ _CLASS[48:58] = 3
 _CLASS[list(SYMBOLS)] = 4
 _CLASS[list(b"!?;:@=_~^/\\{}[]()\"+`")] = 5
 _CLASS[list(b".,'-")] = 6
-N_FEATURES = 1 + (len(SIZES) + 1) + 5 * (len(SHARES) + 1) + 3 + 2
+N_FEATURES = 1 + len(SIZES) + 5 * len(SHARES) + 4 + 2
 
 
 class Lines:
@@ -53,34 +53,29 @@ class Lines:
         for k in (1, 3, 4, 5, 6):
             total = np.concatenate([[0], np.cumsum(kinds == k, dtype=np.int32)])
             share.append((total[self.end] - total[self.start]) / size)
-        repeated = _repeated_words(words)
-        again_words = np.concatenate([[0], np.cumsum(repeated)])
+        hashes = words.hashes()
+        repeated = _repeated_words(words, hashes)
+        doubled = np.zeros(len(hashes), dtype=bool)
+        doubled[1:] = (hashes[1:] == hashes[:-1]) & (words.row[1:] == words.row[:-1])
         at = np.searchsorted(words.start, self.start)
-        self.repeated = (again_words[at + self.n_words] - again_words[at]) / np.maximum(self.n_words, 1)
+
+        def of_words(flag: np.ndarray) -> np.ndarray:
+            total = np.concatenate([[0], np.cumsum(flag)])
+            return (total[at + self.n_words] - total[at]) / np.maximum(self.n_words, 1)
+
         self.word_repeats = repeated
-        x = np.zeros((len(self.row), N_FEATURES), dtype=np.float32)
-        x[:, 0] = 1
-        lines, at = np.arange(len(self.row)), 1
-        x[lines, at + np.searchsorted(SIZES, self.n_words, side="left")] = 1
-        at += len(SIZES) + 1
-        for s in share:
-            x[lines, at + np.searchsorted(SHARES, s)] = 1
-            at += len(SHARES) + 1
-        x[:, at] = again
-        x[:, at + 1] = self.repeated > 0.5
-        x[:, at + 2] = size / self.n_words > 14
-        edge = np.append(True, self.row[1:] != self.row[:-1]) if len(self.row) else np.zeros(0, bool)
-        x[:, at + 3] = edge
-        x[:, at + 4] = np.append(edge[1:], True) if len(self.row) else edge
-        self.x = x
-
-
-def _repeated_words(words: Words) -> np.ndarray:
+        edge = np.append(True, self.row[1:] != self.row[:-1])[: len(self.row)]
+        features = [np.ones(len(self.row)), *(self.n_words > b for b in SIZES), *(s > b for s in share for b in SHARES)]
+        features += [again, of_words(repeated) > 0.5, of_words(doubled) > 0.25, size / self.n_words > 14, edge, np.append(edge[1:], True)[: len(edge)]]
+        self.x = np.column_stack(features).astype(np.float32)
+
+
+def _repeated_words(words: Words, hashes: np.ndarray) -> np.ndarray:
     """Which words lie in a window of five words that the row has twice or more."""
-    hashes, first = ngram_hashes(words.hashes(), words.row, 5)
+    windows, first = ngram_hashes(hashes, words.row, 5)
     out = np.zeros(len(words.row) + 1, dtype=np.int64)
-    if len(hashes):
-        keys = hashes ^ mix(words.row[first].astype(np.uint64) + np.uint64(1))
+    if len(windows):
+        keys = windows ^ mix(words.row[first].astype(np.uint64) + np.uint64(1))
         order = np.argsort(keys, kind="stable")
         same = keys[order[1:]] == keys[order[:-1]]
         twice = np.zeros(len(keys), dtype=bool)
