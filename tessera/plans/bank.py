@@ -468,3 +468,53 @@ def file_kind(spark, sf_dir):
 
     ext = raster_files.extension(F.col("url"))
     return _t(spark, sf_dir, "pages").groupBy(ext.alias("ext"), ext.isin("jpg", "jpeg", "png", "html").alias("known")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""
+    select k, n::bigint as n, trunc(sum_x * 1.0::double)::bigint as sum_x from (select o_orderpriority as k, count(*) n, sum(o_custkey)::bigint sum_x from
+      (select *, row_number() over (partition by o_orderpriority order by o_orderdate, o_orderkey) r from orders) where r <= 2000 group by 1)""")
+def first_features(spark, sf_dir):
+    """The cap of features an image keeps: the first 2000 in order, and what they add up to."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("o_orderpriority").orderBy("o_orderdate", "o_orderkey")
+    first = _t(spark, sf_dir, "orders").withColumn("r", F.row_number().over(order)).where("r <= 2000")
+    return first.groupBy(F.col("o_orderpriority").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("sum_x"))
+
+
+@query("""
+    select o_orderkey, (o_custkey % 3 + 1)::int as tiles, (o_custkey % 5 <> 0) as fits, case when o_custkey % 5 <> 0 then round((o_custkey % 3 + 1) * 2 * 0.5::double, 4) end as total from orders""")
+def json_offsets(spark, sf_dir):
+    """Offset fields as JSON and back; those with too few numbers are rejected."""
+    from tessera.sources import blobs
+
+    n = (F.col("o_custkey") % 3 + 1).cast("int")
+    numbers = F.array_repeat(F.lit(0.5), F.when(F.col("o_custkey") % 5 == 0, 2 * n - 1).otherwise(2 * n).cast("int"))
+    text = _t(spark, sf_dir, "orders").select("o_orderkey", n.alias("tiles"), blobs.offsets_to_json(n, F.lit(1), numbers).alias("t"))
+    back = text.withColumn("s", blobs.offsets_from_json(F.col("t")))
+    return back.select("o_orderkey", "tiles", F.col("s").isNotNull().alias("fits"), F.round(F.aggregate("s.offsets", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))
+
+
+@query("""
+    select stage, unit_kind, count(*)::bigint as n from (
+      select 'OPTIMIZE' stage, 'gain' unit_kind from customer union all select 'OPTIMIZE', 'color' from customer union all select 'OPTIMIZE', 'ba'
+      union all select 'INGEST', 'image' from supplier) group by all""")
+def seed_tasks(spark, sf_dir):
+    images = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    more = catalog.seed_image_tasks(_t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id")), "INGEST")
+    return catalog.seed_optimize_tasks(images).unionByName(more).groupBy("stage", "unit_kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H') as hour, event_type, count(*)::bigint as n, round(sum(value), 4) as total, round(avg(value), 4) as mean from events group by 1, 2")
+def stream_windows(spark, sf_dir):
+    """Events read as a stream, in hourly windows with a watermark; run to the end of what is there."""
+    import uuid
+
+    from tessera.streaming import bursts
+
+    schema = _t(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"windows_{uuid.uuid4().hex}"
+    q = bursts.windowed_mean(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"), F.round("mean", 4).alias("mean"))
