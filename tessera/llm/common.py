@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths of all tables that this process has cut.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir that driver and executors share; one of our own only where it is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -31,6 +35,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,7 +63,7 @@ def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
         return pa.RecordBatch.from_arrays([pa.array(list(have), pa.int64()), pa.array(raw, pa.binary())], names=["k", "bits"])
 
     column = F.col(places.columns[0])
-    dealt = places.select(column.alias("at")).repartitionByRange(16, F.shiftright("at", 16)).sortWithinPartitions("at")
+    dealt = places.select(column.alias("at")).repartitionByRange(F.shiftright("at", 16)).sortWithinPartitions("at")
     out = np.zeros(bits >> 3, dtype=np.uint8)
     for k, raw in dealt.mapInArrow(pieces, "k long, bits binary").toLocalIterator():
         out[k << 13 : (k + 1) << 13] |= np.frombuffer(raw, dtype=np.uint8)
@@ -68,3 +73,10 @@ def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
 def has_bit(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Which places ``bit_filter`` has set."""
     return (packed[places >> 3] >> (places & 7).astype(np.uint8)) & 1 == 1
+
+
+def sweep(spark: SparkSession) -> None:
+    """Remove all tables that this process has cut. Results that still read them must have been written before."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -99,7 +99,7 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         for k, n_ in have.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n_.tobytes()], pa.binary())], names=["k", "n"])
 
-    parts = docs.select(text_col).mapInArrow(count, "k int, n binary").repartition(16, "k").mapInArrow(add, "k int, n binary")
+    parts = docs.select(text_col).mapInArrow(count, "k int, n binary").repartition("k").mapInArrow(add, "k int, n binary")
     out = np.zeros(COUNTERS, dtype=np.uint8)
     for k, raw in parts.toLocalIterator():
         out[k : k + CHUNK] = np.frombuffer(raw, dtype=np.uint8)

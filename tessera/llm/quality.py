@@ -174,8 +174,9 @@ def _slices(column):
         yield i, j, words, Lines(words)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
-    """Fit a CRF on at most ``sample`` labelled documents, those whose ids have the least hashes.
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
+    """Fit a CRF on at most ``sample`` labelled documents, those whose ids have the least hashes,
+    and on at most ``lines`` lines of each (``judge`` itself takes all lines of all texts).
 
     Labels are of documents. Lines of good documents count as content, lines of bad ones as
     boilerplate; then lines of bad documents that a first model takes for content count as such, and
@@ -198,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str =
     found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, _x binary").toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
     if found.empty:
         return LineCrf.fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0, int))
-    chains = [np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES)[:200] for x in found["_x"]]
+    chains = [np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES)[:lines] for x in found["_x"]]
     sizes = np.array([len(c) for c in chains])
     x, good = np.concatenate(chains).astype(np.float64), np.repeat(found["_y"].to_numpy() > 0, sizes)
     first = LineCrf.fit(x, good.astype(int), sizes)

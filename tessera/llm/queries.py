@@ -78,6 +78,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard": r"""
+        with recursive w as (select row_number() over () as n, doc_id,
+                                    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) as ws from documents),
+        s as (select distinct n, array_to_string(ws[i:i + 3], ' ') as g from (select n, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) as i from w where len(ws) > 0)),
+        c as (select n, count(*) as k from s group by n),
+        p as (select a.n as a, b.n as b, count(*) as i from s a join s b on a.g = b.g and a.n < b.n group by 1, 2),
+        links as (select a, b from p join c x on x.n = a join c y on y.n = b where 100 * i >= 85 * (x.k + y.k - i)),
+        both_ways as (select a, b from links union all select b, a from links),
+        reach(n, m) as (select n, n from w union select r.n, l.b from reach r join both_ways l on l.a = r.m)
+        select w.doc_id, coalesce(any_value(c.k), 0)::bigint as n_shingles, min(o.doc_id) as component_id
+        from w left join c on c.n = w.n join reach r on r.n = w.n join w o on o.n = r.m group by w.n, w.doc_id""",
     "op5_mixing": r"""
         with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
         sums as (select source, sum(size)::bigint as source_size from sized group by source),
@@ -92,6 +103,14 @@ ORACLE_SQL: dict[str, str] = {
                   from sized s join goal g on s.source is not distinct from g.source),
         drawn as (select *, ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::varchar, 'null'), coalesce(source, 'null'), size::varchar)), 1, 13))::bigint::double / 4503599627370496.0::double as u from rated)
         select doc_id, size, source_size, target, (size * (floor(rate)::bigint + (u < rate - floor(rate))::bigint))::bigint as taken from drawn""",
+    "op9_embeddings": r"""
+        with recursive v as (select row_number() over () as n, vec_id, embedding::double[] as e from embeddings),
+        ok as (select n, e, list_dot_product(e, e) as q from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+        links as (select a.n as a, b.n as b from ok a join ok b on a.n <> b.n where list_dot_product(a.e, b.e) / sqrt(a.q * b.q) >= 0.95::double),
+        reach(n, m) as (select n, n from v union select r.n, l.b from reach r join links l on l.a = r.m),
+        counts as (select a as n, count(*) as k from links group by 1)
+        select v.vec_id, coalesce(any_value(c.k), 0)::bigint as n_links, min(o.vec_id) as component_id, v.vec_id = min(o.vec_id) as kept
+        from v left join counts c on c.n = v.n join reach r on r.n = v.n join v o on o.n = r.m group by v.n, v.vec_id""",
     "op8_urls": r"""
         with rules(verdict, rhost, rpath) as (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
         rest as (select page_id, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
