@@ -154,7 +154,18 @@ def repeated_starts(group: np.ndarray, context: list[bytes], before: np.ndarray,
     """For contexts sorted by group: the ranges of offsets at which strings start that the group has twice.
 
     ``before`` is the place of the anchor in each context. Contexts of one group are at different places.
+    Equal contexts are repeats of each other as a whole; one of them stands for all against the others.
     """
+    first: dict[tuple[int, int, bytes], int] = {}
+    same = [first.setdefault(x, k) for k, x in enumerate(zip(group.tolist(), before.tolist(), context, strict=True))]
+    twice = np.bincount(same, minlength=len(context)) > 1
+    kept = np.array(list(first.values()), dtype=np.int64)
+    found = dict(zip(kept.tolist(), _starts(group[kept], [context[k] for k in kept], before[kept], length), strict=True))
+    return [[(0, len(context[k]) - length)] if twice[r] else found[k] for k, r in enumerate(same)]
+
+
+def _starts(group: np.ndarray, context: list[bytes], before: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
+    """The same for contexts that are all different within a group."""
     size = np.fromiter(map(len, context), dtype=np.int64, count=len(context))
     at = np.cumsum(size) - size
     suffixes = Suffixes(np.frombuffer(b"".join(context), dtype=np.uint8), length)
