@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 SHORT = 128
-CACHE = 600_000
+CACHE = 300_000
 _NONE = np.int32(2**31 - 1)
 #: White space as Unicode has it, for all versions in use.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -19,7 +19,6 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -380,6 +379,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, r
     spark = docs.sparkSession
     counters = spark.sparkContext.broadcast(frequencies(docs, text_col, n))
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
+    counters.unpersist()
     nodes = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("size").alias("size")), "sets")
     seen = sized.where("id is not null").select("k1", "size", F.posexplode("prefix").alias("at", "sig"))
     hubs = seen.where(F.col("at") < index_size(F.col("size"), percent)).groupBy("sig").agg(F.min("k1").alias("hub"))
@@ -424,25 +424,33 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(touched.select(place(F.col("id")).alias("at")), FILTER_BITS))
 
-    @F.pandas_udf("boolean")
-    def may_go(at: pd.Series) -> pd.Series:
-        return pd.Series(has_bit(bits.value, at.to_numpy()))
-
     at = docs.columns.index(text_col)
     names = [*docs.columns, "_set1", "_set2", "_words"]
 
+    def flagged(batch) -> np.ndarray:
+        """Which rows may go; the last column has their places."""
+        return has_bit(bits.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
+
+    def stay(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(~flagged(batch))).select(docs_columns)
+
     def digest(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(flagged(batch)))
             data, offsets = text_buffers(batch.column(at))
             for i, j in slices(offsets):
                 sets = Sets(Words(data, offsets, i, j), n)
                 k1, k2 = sets.digests()
-                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(k1), pa.array(k2), pa.array(sets.size.astype(np.int64))], names=names)
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns[:-1], pa.array(k1), pa.array(k2), pa.array(sets.size.astype(np.int64))], names=names)
 
-    flagged = docs.withColumn("_may_go", F.col(id_col).isNotNull() & may_go(F.coalesce(place(F.col(id_col)), F.lit(0).cast("long"))))
-    sure = flagged.where("not _may_go").select(*docs.columns)
+    docs_columns = list(range(len(docs.columns)))
+    # rows without an id never go: their place is that of no row
+    placed = docs.select("*", F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(place(F.col(id_col))).alias("_place"))
+    known = placed.where("_place >= 0")
+    sure = known.mapInArrow(stay, docs.schema).union(placed.where("_place < 0").select(*docs.columns))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[-3:])])
-    rest = flagged.where("_may_go").select(*docs.columns).mapInArrow(digest, schema)
+    rest = known.mapInArrow(digest, schema)
     same = (F.col(id_col) == F.col("_id")) & (F.col("_set1") == F.col("_k1")) & (F.col("_set2") == F.col("_k2"))
     empty = rest.where("_words = 0").select(*docs.columns)
     judged = rest.where("_words > 0").join(staying, same, "left_semi").dropDuplicates([id_col, "_set1", "_set2"]).select(*docs.columns)

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.textkit import slices, text_buffers
+from tessera.llm.textkit import SLICE_BYTES, slices, text_buffers
 
 CODES = 1 << 16
 ROUNDS = 12
@@ -154,7 +154,8 @@ def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarra
     """Language, score and language set of each text."""
     data, offsets = text_buffers(column)
     pred, score, sets = ["und"] * len(column), np.zeros(len(column)), [""] * len(column)
-    for i, j in slices(offsets) if model.langs else ():
+    limit = max(1 << 16, 4 * SLICE_BYTES // max(4, len(model.langs)))  # a number for each byte and language
+    for i, j in slices(offsets, limit) if model.langs else ():
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
         plain = letters[at[1:]] > letters[at[:-1]]
