@@ -25,14 +25,18 @@ def downsample2(df: DataFrame, index: str) -> DataFrame:
     return df.where(F.col(index) % 2 == 0).withColumn(index, F.floor(F.col(index) / 2))
 
 
-def upsample(df: DataFrame, keys: list[str], index: str, value: str, source: int, target: int, out: str = "value") -> DataFrame:
-    """Linear interpolation of ``source`` samples (numbered from 0) to ``target``, ends on ends."""
-    grid = df.where(F.col(index) < source).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), F.col(value)))).alias("_m"), F.max(F.col(index)).alias("_n"))
-    x = F.col("x") * F.lit((source - 1) / (target - 1))
-    wide = grid.where(F.col("_n") == source - 1).select(*keys, "_m", F.explode(F.sequence(F.lit(0), F.lit(target - 1))).alias("x"))
-    low = F.floor(x).cast("int")
-    high = F.least(low + 1, F.lit(source - 1))
-    return wide.select(*keys, "x", (F.col("_m")[low] * (1 - (x - low)) + F.col("_m")[high] * (x - low)).alias(out))
+def upsample(df: DataFrame, keys: list[str], index: str, value: str, factor: int = 2, out: str = "value") -> DataFrame:
+    """Linear interpolation of the n samples of each key (numbered from 0) to ``factor`` * n, ends on ends.
+
+    Each row makes the places from its own up to the next row's; the one sample of a key stands in all its places.
+    """
+    w = Window.partitionBy(*keys)
+    i, n = F.col(index), F.count(F.lit(1)).over(w)
+    ahead = F.lead(F.col(value)).over(w.orderBy(index))
+    wide = df.select(*keys, F.col(index).cast("long").alias("_i"), F.col(value).alias("_a"), F.when(i < n - 1, ahead).otherwise(F.col(value)).alias("_b"), (n - 1).alias("_s"), (n * factor - 1).alias("_t"))
+    places = wide.withColumn("x", F.explode(F.expr("case when _s = 0 then sequence(0L, _t) when _i = _s then array(_t) else sequence((_i * _t + _s - 1) div _s, ((_i + 1) * _t + _s - 1) div _s - 1) end")))
+    part = F.when(F.col("_s") == 0, F.lit(0.0)).otherwise((F.col("x") * F.col("_s")) % F.col("_t") / F.col("_t"))
+    return places.withColumn("_w", part).select(*keys, "x", (F.col("_a") * (1 - F.col("_w")) + F.col("_b") * F.col("_w")).alias(out))
 
 
 def gap_distance(df: DataFrame, keys: list[str], index: str, gap: Column, out: str = "d", none: int = 1_000_000) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import catalog, color, geometry, match, series, stack
@@ -345,7 +345,17 @@ def downsample(spark, sf_dir):
     select g.user_id, g.x::int as x, round(a.value * (1 - (x * (7.0::double / 15) - floor(x * (7.0::double / 15)))) + b.value * (x * (7.0::double / 15) - floor(x * (7.0::double / 15))), 4) as value
     from g join s a on a.user_id = g.user_id and a.i = floor(x * (7.0::double / 15)) join s b on b.user_id = g.user_id and b.i = least(floor(x * (7.0::double / 15)) + 1, 7)""")
 def upsample_bilinear(spark, sf_dir):
-    return series.upsample(_signal(spark, sf_dir), ["user_id"], "i", "value", 8, 16).select("user_id", "x", F.round("value", 4).alias("value"))
+    """The first 8 samples of a user only, as its SQL has it; upsample_signal takes whole signals."""
+    first = _signal(spark, sf_dir).where("i < 8").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id"))).where("n = 8 and user_id is not null")
+    return series.upsample(first, ["user_id"], "i", "value").select("user_id", F.col("x").cast("int").alias("x"), F.round("value", 4).alias("value"))
+
+
+@query(_SIGNAL + """, k as (select user_id, count(*) n from t group by 1), g as (select user_id, n, unnest(range(0, 2 * n)) x from k),
+    p as (select *, (x * (n - 1)) // (2 * n - 1) lo, ((x * (n - 1)) % (2 * n - 1))::double / (2 * n - 1) w from g)
+    select p.user_id, p.x::bigint as x, round(a.value * (1 - w) + b.value * w, 4) as value
+    from p join t a on a.user_id is not distinct from p.user_id and a.i = p.lo join t b on b.user_id is not distinct from p.user_id and b.i = least(p.lo + 1, p.n - 1)""")
+def upsample_signal(spark, sf_dir):
+    return series.upsample(_signal(spark, sf_dir), ["user_id"], "i", "value").select("user_id", "x", F.round("value", 4).alias("value"))
 
 
 @query(_SIGNAL + """, g as (select user_id, i, event_type = 'error' gap from t),
