@@ -25,6 +25,11 @@ def downsample2(df: DataFrame, index: str) -> DataFrame:
     return df.where(F.col(index) % 2 == 0).withColumn(index, F.floor(F.col(index) / 2))
 
 
+def blur_downsample2(df: DataFrame, keys: list[str], order: list[str], index: str, value: str, out: str = "y16") -> DataFrame:
+    """Sixteen times the blur over whole signals, at every second row (Downsample2x in one dimension)."""
+    return downsample2(blur5(df, keys, order, value, out), index)
+
+
 def upsample(df: DataFrame, keys: list[str], index: str, value: str, factor: int = 2, out: str = "value") -> DataFrame:
     """Linear interpolation of the n samples of each key (numbered from 0) to ``factor`` * n, ends on ends.
 

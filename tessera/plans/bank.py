@@ -338,9 +338,18 @@ def blur5(spark, sf_dir):
 
 @query(_SIGNAL + " select event_id, (i // 2)::bigint as half from t where i % 2 = 0")
 def downsample(spark, sf_dir):
+    """Which rows stay and where, without the blur, as its SQL has it; downsample_blurred has the values."""
     return series.downsample2(_signal(spark, sf_dir), "i").select("event_id", F.col("i").cast("long").alias("half"))
 
 
+@query(_SIGNAL + """, v as (select user_id, event_id, i, round(value * 100)::bigint v from t),
+    x as (select event_id, i, v, lag(v, 1) over w l1, lag(v, 2) over w l2, lead(v, 1) over w r1, lead(v, 2) over w r2 from v window w as (partition by user_id order by i))
+    select event_id, (i // 2)::bigint as half, (coalesce(l2, l1, v) + 4 * coalesce(l1, v) + 6 * v + 4 * coalesce(r1, v) + coalesce(r2, r1, v))::bigint as y16 from x where i % 2 = 0""")
+def downsample_blurred(spark, sf_dir):
+    signal = _signal(spark, sf_dir).withColumn("v", F.round(F.col("value") * 100).cast("long"))
+    return series.blur_downsample2(signal, ["user_id"], ["ts", "event_id"], "i", "v").select("event_id", F.col("i").cast("long").alias("half"), "y16")
+
+
 @query(_SIGNAL + """, s as (select user_id, i, value from t where i < 8), k as (select user_id from s group by 1 having count(*) = 8), g as (select user_id, unnest(range(0, 16)) x from k)
     select g.user_id, g.x::int as x, round(a.value * (1 - (x * (7.0::double / 15) - floor(x * (7.0::double / 15)))) + b.value * (x * (7.0::double / 15) - floor(x * (7.0::double / 15))), 4) as value
     from g join s a on a.user_id = g.user_id and a.i = floor(x * (7.0::double / 15)) join s b on b.user_id = g.user_id and b.i = least(floor(x * (7.0::double / 15)) + 1, 7)""")

@@ -43,3 +43,17 @@ def test_upsample_signal_uses_every_event(spark):
     except Exception:
         pytest.skip("no test data")
     assert bank.QUERIES["upsample_signal"](spark, SF).count() == 2 * n
+
+
+def test_downsampling_blurs_first(spark):
+    got = {(r.user_id, r.i): r.y16 for r in series.blur_downsample2(signals(spark), ["user_id"], ["i"], "i", "value").collect()}
+    want = {}
+    for u, s in SIGNALS.items():
+        at = lambda k, s=s: s[min(max(k, 0), len(s) - 1)]
+        for k in range(0, len(s), 2):
+            want[u, k // 2] = sum(w * at(k + d) for d, w in zip(range(-2, 3), (1, 4, 6, 4, 1), strict=True))
+    assert got == want
+
+
+def test_downsample_blurred_has_the_values(spark):
+    assert {"event_id", "half", "y16"} <= set(bank.QUERIES["downsample_blurred"](spark, "/root/testdata/sf0.001").columns)
