@@ -26,7 +26,9 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return secrets.scan(table(spark, sf_dir, "documents"), words=secrets.vocabulary(public_tokenizers.path(BYTE_BPE)))
 
 
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

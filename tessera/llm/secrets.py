@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -16,9 +17,11 @@ KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Where a credential is expected; its value runs to white space, a quote or a bracket.
+#: Where a credential is expected; its name may have further parts, and a scheme may stand before the
+#: value, which runs to white space, a quote or a bracket.
 CONTEXT = re.compile(
-    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth)[_-]?key|credentials?|auth)["']?[\x20\t]*(?::|=>?)[\x20\t]*["'`]?([^\s"'`,;<>(){}\[\]]{6,})""",
+    r"""(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|(?:api|access|private|auth|secret|signing|encryption|master|account|client)[_-]?key|credentials?|auth(?:orization)?)"""
+    r"""(?i:[_-]?(?:key|token|secret|password|value|string|base64|b64|[0-9]{1,3})){0,3}["']?[\x20\t]*(?::|=>?)[\x20\t]*["'`]?(?:(?i:bearer|basic|token)[\x20\t]+["'`]?)?([^\s"'`,;<>(){}\[\]]{6,})""",
     re.ASCII,
 )
 HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "auth")
@@ -41,6 +44,14 @@ _NEXT = {a + b for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)}
 _LEET = str.maketrans("@4310$57!", "aaeiosst" + "i")
 
 
+def vocabulary(path: str) -> tuple[str, ...]:
+    """COMMON and after it the words of three letters or more that a vocabulary file has, in its order (frequent ones first)."""
+    with open(path, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = (t[1:].lower() for t in sorted(ids, key=ids.__getitem__) if t[0] == "\u0120")
+    return tuple(dict.fromkeys([*COMMON, *(w for w in words if len(w) > 2 and w.isascii() and w.isalpha())]))
+
+
 class GuessCost:
     """log10 of the guesses for a value: the cheapest way to cut it into words, dates, repeats, keyboard walks and other spans."""
 
