@@ -150,10 +150,10 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mi
     return MixtureModel(counts(docs, text_col, lang_col).toPandas())
 
 
-def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarray, list[str]]:
-    """Language, score and language set of each text."""
+def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Language, score, language set and the summed share of that set for each text."""
     data, offsets = text_buffers(column)
-    pred, score, sets = ["und"] * len(column), np.zeros(len(column)), [""] * len(column)
+    pred, score, sets, whole = ["und"] * len(column), np.zeros(len(column)), [""] * len(column), np.zeros(len(column))
     limit = max(1 << 16, 4 * SLICE_BYTES // max(4, len(model.langs)))  # a number for each byte and language
     for i, j in slices(offsets, limit) if model.langs else ():
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
@@ -165,7 +165,8 @@ def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarra
             if plain[r] or any(c.isalpha() for c in bytes(part[at[r] : at[r + 1]]).decode()):
                 pred[i + r], score[i + r] = model.langs[o[0]], min(1.0, w[o[0]])
                 sets[i + r] = ",".join(f"{model.langs[k]}:{w[k]:.4f}" for k in o if w[k] > 0)
-    return pred, score, sets
+                whole[i + r] = sum(w)
+    return pred, score, sets, whole
 
 
 def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,21 +182,24 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            pred, score, sets = _judged(shared.value, batch.column(1))
+            pred, score, sets, _ = _judged(shared.value, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.string())], names=[id_col, "lang_pred", "score", "languages"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, lang_pred string, score double, languages string")
 
 
 def keep(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has a language with a share of ``least`` or more."""
+    """The rows of docs, with all their columns, whose text has languages: those of its chosen set together have a share of ``least`` or more of the words.
+
+    However many languages a text has, it stays; what goes is ``und``, or has words that no chosen language explains.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            pred, score, _ = _judged(shared.value, batch.column(place))
-            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score.tolist(), strict=True)], pa.bool_()))
+            pred, _, _, whole = _judged(shared.value, batch.column(place))
+            yield batch.filter(pa.array([p != "und" and w >= least for p, w in zip(pred, whole.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -240,6 +240,19 @@ def test_langid_mixture(spark):
     assert got[1].lang_pred == "en" and got[1].languages == "en:1.0000"
 
 
+def test_langid_keeps_texts_of_three_languages(spark):
+    english = "the cat and the dog went over the hill to see what they would find there"
+    french = "le chat et le chien sont partis sur la colline pour voir ce qu'ils y trouveraient"
+    german = "die katze und der hund gingen zusammen durch den wald um etwas zu suchen"
+    rows_ = lambda texts: docs(spark, [(k, t, lang, None, 0, None, None) for k, (t, lang) in enumerate(texts)])
+    model = langid.train(rows_([(english, "en"), (french, "fr"), (german, "de")] * 5))
+    mixed = " ".join(" ".join(t.split()[:m]) for t, m in ((english, 14), (french, 12), (german, 9)))
+    table = rows_([(mixed, None), (english, None), ("1234 !!!", None), (None, None)])
+    judged = {r.doc_id: r for r in langid.identify(table, model).collect()}
+    assert judged[0].score < 0.5 and judged[0].languages.count(":") == 3
+    assert sorted(r.doc_id for r in langid.keep(table, model).collect()) == [0, 1]
+
+
 # 8 ---------------------------------------------------------------------------------------------
 
 URLS = [
