@@ -93,11 +93,6 @@ class LineCrf:
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move
 
-    @staticmethod
-    def _padded(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Place of each line in a (chains x longest) grid."""
-        return np.repeat(np.arange(len(sizes)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, rounds: int = 150, rate: float = 0.1, decay: float = 1e-3) -> LineCrf:
         """Maximum likelihood by Adam, gradients by forward-backward over all chains at once."""
@@ -105,34 +100,36 @@ class LineCrf:
         if not len(x):
             emit[0, 1] = 1.0  # nothing to learn from: all lines are content
             return cls(emit, move)
-        r, c = cls._padded(sizes)
-        n, wide = len(sizes), int(sizes.max())
-        there = np.arange(wide)[None, :] < sizes[:, None]
+        # longest chains first, line by line of all chains: step t is rows at[t] to at[t + 1], of the chains with over t lines
+        order = np.argsort(-sizes, kind="stable")
+        begin, length = (np.cumsum(sizes) - sizes)[order], sizes[order]
+        live = np.searchsorted(-length, -np.arange(int(length[0])), side="left")
+        at = np.concatenate([[0], np.cumsum(live)])
+        wide = len(live)
+        place = np.concatenate([begin[:k] + t for t, k in enumerate(live)])
+        x, y = x[place], y[place]
+        after = np.arange(at[1], len(x))  # lines with one before, and that one
+        before = after - np.repeat(live[:-1], live[1:])
+        last = at[length - 1] + np.arange(len(length))
+        chain = np.concatenate([np.arange(k) for k in live])
         target = np.eye(2)[y]
-        pairs = c[1:] > 0
         seen = np.zeros((2, 2))
-        np.add.at(seen, (y[:-1][pairs], y[1:][pairs]), 1)
+        np.add.at(seen, (y[before], y[after]), 1)
         m, v, step = [np.zeros_like(emit), np.zeros_like(move)], [np.zeros_like(emit), np.zeros_like(move)], 0
         for _ in range(rounds):
-            score = np.zeros((n, wide, 2))
-            score[r, c] = x @ emit
-            forward, backward = np.zeros_like(score), np.zeros_like(score)
-            forward[:, 0] = score[:, 0]
+            score = x @ emit
+            forward, backward = score.copy(), np.zeros_like(score)
             for t in range(1, wide):
-                step_in = np.logaddexp(forward[:, t - 1, :1] + move[0], forward[:, t - 1, 1:] + move[1]) + score[:, t]
-                forward[:, t] = np.where(there[:, t, None], step_in, forward[:, t - 1])
+                come = forward[at[t - 1] : at[t - 1] + live[t]]
+                forward[at[t] : at[t + 1]] += np.logaddexp(come[:, :1] + move[0], come[:, 1:] + move[1])
             for t in range(wide - 2, -1, -1):
-                ahead = score[:, t + 1] + backward[:, t + 1]
-                back = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
-                backward[:, t] = np.where(there[:, t + 1, None], back, 0)
-            total = np.logaddexp(forward[:, -1, 0], forward[:, -1, 1])
-            alone = np.exp(forward + backward - total[:, None, None])[r, c]
+                ahead = score[at[t + 1] : at[t + 2]] + backward[at[t + 1] : at[t + 2]]
+                backward[at[t] : at[t] + live[t + 1]] = np.logaddexp(move[:, 0] + ahead[:, :1], move[:, 1] + ahead[:, 1:])
+            total = np.logaddexp(forward[last, 0], forward[last, 1])[chain]
+            alone = np.exp(forward + backward - total[:, None])
             grad_emit = x.T @ (alone - target) / len(x) + decay * emit
-            joint = np.zeros((2, 2))
-            if wide > 1:
-                both = forward[:, :-1, :, None] + move + (score + backward)[:, 1:, None, :] - total[:, None, None, None]
-                joint = np.exp(both[there[:, 1:]]).sum(axis=0)
-            grad_move = (joint - seen) / len(x) + decay * move
+            both = forward[before][:, :, None] + move + (score + backward)[after][:, None, :] - total[after][:, None, None]
+            grad_move = (np.exp(both).sum(axis=0) - seen) / len(x) + decay * move
             step += 1
             for k, (p, g) in enumerate(((emit, grad_emit), (move, grad_move))):
                 m[k] = 0.9 * m[k] + 0.1 * g
@@ -174,9 +171,9 @@ def _slices(column):
         yield i, j, words, Lines(words)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: int = 200, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> LineCrf:
     """Fit a CRF on at most ``sample`` labelled documents, those whose ids have the least hashes,
-    and on at most ``lines`` lines of each (``judge`` itself takes all lines of all texts).
+    and on all lines of each.
 
     Labels are of documents. Lines of good documents count as content, lines of bad ones as
     boilerplate; then lines of bad documents that a first model takes for content count as such, and
@@ -199,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, lines: int = 2
     found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, _x binary").toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
     if found.empty:
         return LineCrf.fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0, int))
-    chains = [np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES)[:lines] for x in found["_x"]]
+    chains = [np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES) for x in found["_x"]]
     sizes = np.array([len(c) for c in chains])
     x, good = np.concatenate(chains).astype(np.float64), np.repeat(found["_y"].to_numpy() > 0, sizes)
     first = LineCrf.fit(x, good.astype(int), sizes)

@@ -70,6 +70,15 @@ def test_crf_learns_runs():
     assert (crf.viterbi(x, sizes) == y).mean() >= max(0.9, alone)
 
 
+def test_crf_learns_from_all_lines(spark, monkeypatch):
+    long = "\n".join(f"line {k} has words" for k in range(350))
+    table = docs(spark, [(1, long, None, None, 0, None, None), (2, "two\nlines", None, None, 0, None, None)])
+    fit, seen = quality.LineCrf.fit, []
+    monkeypatch.setattr(quality.LineCrf, "fit", lambda x, y, sizes, **k: seen.append((len(x), sorted(sizes.tolist()))) or fit(x, y, sizes, **k))
+    quality.train(table, spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int"))
+    assert seen == [(352, [2, 350])] * 2
+
+
 # 3 ---------------------------------------------------------------------------------------------
 
 
