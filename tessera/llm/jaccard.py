@@ -231,7 +231,31 @@ class RegionJoin:
                 at = np.flatnonzero(open_)
                 open_[at] = (np.abs(known[at] - known[x]) <= self.radius).all(axis=1)
             if open_.any():
-                self.distances(int(docs[x]), docs[open_])
+                self.compare(int(docs[x]), docs[open_])
+
+    def compare(self, x: int, others: np.ndarray) -> None:
+        """What is done with a native document and all that may link with it."""
+        self.distances(x, others)
+
+
+class LinkCount(RegionJoin):
+    """The documents that each one is linked with, counted with their weights; no pair is passed over.
+
+    Roots stay as they are; documents of one root are not counted for each other.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int, weight: np.ndarray):
+        super().__init__(sets, percent)
+        self.weight, self.links = weight, np.zeros(len(sets), np.int64)
+
+    def distances(self, x: int, others: np.ndarray) -> np.ndarray:
+        both = self.shared(x, others)
+        return 1 - both / (self.size[x] + self.size[others] - both)
+
+    def compare(self, x: int, others: np.ndarray) -> None:
+        both = self.shared(x, others)
+        linked = 100 * both >= self.percent * (self.size[x] + self.size[others] - both)
+        self.links[x] += self.weight[others[linked]].sum()
 
 
 def sets_of(texts: pa.Array | pa.ChunkedArray, n: int) -> list[np.ndarray]:
@@ -259,6 +283,21 @@ def _links(table: pa.Table, n: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
 
 
+def _counts(table: pa.Table, n: int, percent: int) -> pa.Table:
+    """key and links, the weights of what it is linked with in a region, or between the two chunks of a pair."""
+    keys = table.column("key").to_pylist()
+    order = sorted(range(len(keys)), key=keys.__getitem__)
+    order = [k for i, k in enumerate(order) if not i or keys[k] != keys[order[i - 1]]]
+    taken = table.take(pa.array(order))
+    join = LinkCount(sets_of(taken.column("text"), n), percent, taken.column("copies").to_numpy())
+    if "chunk" in table.column_names:
+        sides = np.unique(taken.column("chunk").to_numpy(), return_inverse=True)[1]
+        if sides.any():
+            join.root = sides
+    join.run()
+    return pa.table({"key": taken.column("key").combine_chunks(), "links": pa.array(join.links)})
+
+
 def _texts_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> DataFrame:
     """k1, key and text of the documents that the filter ``chosen`` has, and few others.
 
@@ -299,14 +338,14 @@ def _filter(members: DataFrame) -> np.ndarray:
     return bit_filter(members.select("h", "k1").mapInArrow(run, "at long"), FILTER_BITS)
 
 
-def _chunked(big: DataFrame, n: int, percent: int, limit: int) -> tuple[DataFrame, DataFrame]:
+def _chunked(big: DataFrame, n: int, percent: int, limit: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
     """Regions too large for one task: links with pivots, and what remains as pairs of chunks.
 
     big: region, m (documents of the region), key, text. Every document is measured against up to 17
     pivots of its region, piece by piece of at most PIECE documents. Links with pivots give connected
     parts. A chunk holds documents of one nearest pivot and part; chunks of one part need no comparison,
     nor do those whose distances to some pivot lie further apart than a link can be. The rest is compared
-    pair of chunks by pair of chunks.
+    pair of chunks by pair of chunks. With ``every``, chunks of one part are compared too.
     """
     radius = 1 - percent / 100 + 1e-12
     pieces = F.ceil(F.col("m") / F.lit(PIECE)).cast("long")
@@ -354,28 +393,31 @@ def _chunked(big: DataFrame, n: int, percent: int, limit: int) -> tuple[DataFram
     spread = cut(spread.groupBy("region", "chunk", "group").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "low", "high"))), lambda s: F.struct(s["low"], s["high"])).alias("w")), "spread")
     left, right = spread.select("region", F.col("chunk").alias("ca"), F.col("group").alias("ga"), F.col("w").alias("wa")), spread.select("region", F.col("chunk").alias("cb"), F.col("group").alias("gb"), F.col("w").alias("wb"))
     apart = F.exists(F.zip_with("wa", "wb", lambda x, y: (x["low"] > y["high"] + radius) | (y["low"] > x["high"] + radius)), lambda t: t)
-    open_ = left.join(right, "region").where((F.col("ca") <= F.col("cb")) & ~(F.col("ga").isNotNull() & F.col("ga").eqNullSafe(F.col("gb"))) & ~apart).select(F.xxhash64("ca", "cb").alias("pair"), "ca", "cb")
+    connected = F.lit(False) if every else F.col("ga").isNotNull() & F.col("ga").eqNullSafe(F.col("gb"))
+    open_ = left.join(right, "region").where((F.col("ca") <= F.col("cb")) & ~connected & ~apart).select(F.xxhash64("ca", "cb").alias("pair"), "ca", "cb")
     each = open_.select("pair", F.explode(F.array_distinct(F.array("ca", "cb"))).alias("chunk"))
-    return stars, placed.select("chunk", "key", "text", "root").join(each, "chunk").select("pair", "key", "text", "root")
+    return stars, placed.select("chunk", "key", "text", "root").join(each, "chunk").select("pair", "key", "text", "root", *(["chunk"] if every else []))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, region_limit: int = 20_000, region_tokens: int = 6_000_000) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, region_limit: int = 20_000, region_tokens: int = 6_000_000, links: bool = False) -> DataFrame:
     """Documents linked by the Jaccard similarity of their sets of n-word shingles, and what they reach.
 
     Words are lower-cased (A-Z). A link is 100 * intersection >= percent * union. Returns id_col,
-    n_shingles and component_id, the smallest id reachable by links; all links between different sets
-    are found. A document of fewer than n words has its whole sequence as its one shingle. Documents
+    n_shingles and component_id, the smallest id reachable by links. Pairs that are connected already are
+    passed over, unless ``links`` asks for n_links too: the number of other rows that a row is linked
+    with, rows with its own set among them. That measures every pair that may be linked, so the work
+    grows with the square of a group of near copies. A document of fewer than n words has its whole sequence as its one shingle. Documents
     without words (null and empty texts too) have none and are linked with nothing, and so is a row
     with a null id (component_id null). Rows that share an id but not a text are nodes of their own.
     A region of over ``region_limit`` sets or ``region_tokens`` shingles goes through ``_chunked``.
     """
-    found = _groups(docs, id_col, text_col, n, percent, region_limit, region_tokens)
+    found = _groups(docs, id_col, text_col, n, percent, region_limit, region_tokens, links)
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *([F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links")] if links else []))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, region_limit: int = 20_000, region_tokens: int = 6_000_000) -> DataFrame:
-    """Per row: id, n_shingles, k1, k2 (its set), and component with component_id, null for rows linked with nothing by rule."""
+def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, region_limit: int = 20_000, region_tokens: int = 6_000_000, count: bool = False) -> DataFrame:
+    """Per row: id, n_shingles, k1, k2 (its set), and component with component_id, null for rows linked with nothing by rule; with ``count``, n_links."""
     spark = docs.sparkSession
     counters = spark.sparkContext.broadcast(frequencies(docs, text_col, n))
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
@@ -395,16 +437,26 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, r
     edge = "a binary, b binary"
     if has_big:
         texts = cut(texts, "candidates")
+    key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
+    if count:
+        copies = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).select(key.alias("key"), "copies"), "copies")
+        tally = "key binary, links long"
+        counted = texts.where("not big").select("region", "key", "text").join(copies, "key").groupBy("region").applyInArrow(lambda t: _counts(t, n, percent), tally)
     links = texts.where("not big").select("region", "key", "text").groupBy("region").applyInArrow(lambda t: _links(t, n, percent), edge)
     if has_big:
         big = cut(texts.where("big").select("region", "m", "key", "text").dropDuplicates(["key"]), "big")
-        pivot_links, pairs = _chunked(big, n, percent, region_limit)
+        pivot_links, pairs = _chunked(big, n, percent, region_limit, count)
         links = links.union(pivot_links.select("a", "b")).union(pairs.groupBy("pair").applyInArrow(lambda t: _links(t, n, percent), edge))
+        if count:
+            counted = counted.union(pairs.join(copies, "key").groupBy("pair").applyInArrow(lambda t: _counts(t, n, percent), tally))
     parts = components(links)
-    key = F.concat(F.unhex(F.lpad(F.hex("k1"), 16, "0")), F.unhex(F.lpad(F.hex("k2"), 16, "0")))
     named = nodes.withColumn("node", key).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     known = named.select("k1", "k2", "component").join(least, "component").select("k1", "k2", "component", "component_id")
+    if count:
+        sums = counted.groupBy("key").agg(F.sum("links").alias("links"))
+        each = copies.join(sums, "key", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        known = known.withColumn("key", key).join(each, "key").drop("key")
     return sized.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(known, ["k1", "k2"], "left")
 
 

@@ -76,6 +76,18 @@ def test_large_regions_are_cut_into_chunks(spark):
     assert got == brute(made, 4, 85)
 
 
+@pytest.mark.parametrize("limit", [20_000, 4])
+def test_links_are_counted(spark, limit):
+    made = families(2) + [(None if r[0] is None else r[0] + 1000, *r[1:]) for r in rows()]
+    sets = [shingles(r[1], 4) if r[0] is not None else set() for r in made]
+    links = [sum(i != j and bool(a) and 100 * len(a & b) >= 85 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    want = [(*row, k) for row, k in zip([(r[0], len(shingles(r[1], 4))) for r in made], links, strict=True)]
+    got = jaccard.join(docs(spark, made), n=4, percent=85, region_limit=limit, links=True).collect()
+    assert max(links) >= 3  # groups whose links are more than a forest
+    assert sorted(((r.doc_id, r.n_shingles, r.n_links) for r in got), key=str) == sorted(want, key=str)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute(made, 4, 85)
+
+
 def test_empty_table(spark):
     assert jaccard.join(docs(spark, [])).count() == 0
 
