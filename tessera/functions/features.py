@@ -30,17 +30,24 @@ def fast_corners(gray: np.ndarray, threshold: int = FAST_THRESHOLD, run: int = F
     return np.column_stack([x, y])[:most] + MARGIN
 
 
+def _stirred(h: np.ndarray) -> np.ndarray:
+    h = ((h ^ (h >> np.uint64(13))) * np.uint64(STIR)) & np.uint64(0xFFFFFFFF)
+    return h ^ (h >> np.uint64(15))
+
+
+def hashes(bits: int = BITS) -> np.ndarray:
+    """A 32-bit hash of each bit's number."""
+    return _stirred((np.arange(bits, dtype=np.uint64) * np.uint64(SEED)) & np.uint64(0xFFFFFFFF))
+
+
 def pattern(bits: int = BITS) -> np.ndarray:
-    """bits x 4: the two offsets that each bit compares, from a 32-bit hash of its number."""
-    h = (np.arange(bits, dtype=np.uint64) * np.uint64(SEED)) & np.uint64(0xFFFFFFFF)
-    out = []
-    for step in (None, *NEXT):
-        if step is not None:
-            h = (h * np.uint64(step) + np.uint64(1)) & np.uint64(0xFFFFFFFF)
-        h = ((h ^ (h >> np.uint64(13))) * np.uint64(STIR)) & np.uint64(0xFFFFFFFF)
-        h ^= h >> np.uint64(15)
-        out.append((h % np.uint64(SPREAD)).astype(np.int64) - SPREAD // 2)
-    return np.column_stack(out)
+    """bits x 4: the two offsets that each bit compares, from the hash of its number and three more."""
+    h = hashes(bits)
+    out = [h]
+    for step in NEXT:
+        h = _stirred((h * np.uint64(step) + np.uint64(1)) & np.uint64(0xFFFFFFFF))
+        out.append(h)
+    return np.column_stack([(x % np.uint64(SPREAD)).astype(np.int64) - SPREAD // 2 for x in out])
 
 
 def describe(gray: np.ndarray, points: np.ndarray) -> np.ndarray:

@@ -135,11 +135,11 @@ def apply_gain(spark, sf_dir):
     select n_nationkey, round(coalesce(least(greatest(a / nullif(b, 0), 0.25::double), 4.0::double), 1.0::double), 6) as gain
     from nation left join c on n_nationkey = c.k left join s on n_nationkey = s.k""")
 def gain_estimate(spark, sf_dir):
-    target = _t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum("s_acctbal").alias("b"))
-    reference = _t(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.sum("c_acctbal").alias("a"))
-    both = _t(spark, sf_dir, "nation").withColumnRenamed("n_nationkey", "k").join(reference, "k", "left").join(target, "k", "left")
-    ratio = F.col("a") / F.when(F.col("b") != 0, F.col("b"))
-    return both.select(F.col("k").alias("n_nationkey"), F.round(F.coalesce(color.clamp(ratio, 0.25, 4.0), F.lit(1.0)), 6).alias("gain"))
+    """Customers are samples of the reference, suppliers of the target."""
+    target = _t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.lit(None).cast("double").alias("a"), F.col("s_acctbal").alias("b"))
+    reference = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_acctbal").alias("a"), F.lit(None).cast("double").alias("b"))
+    samples = _t(spark, sf_dir, "nation").select("n_nationkey").join(target.unionByName(reference), "n_nationkey", "left")
+    return samples.groupBy("n_nationkey").agg(F.round(color.gain_estimate(F.col("a"), F.col("b")), 6).alias("gain"))
 
 
 @query("""
@@ -147,12 +147,9 @@ def gain_estimate(spark, sf_dir):
     r as (select m rm, sd rs from s where p_brand = (select min(p_brand) from part))
     select p_partkey, round((p_retailprice - m) * (rs / case when sd <= 1e-6::double then 1.0::double else sd end) + rm, 4) as mapped from part join s using (p_brand) cross join r""")
 def reinhard_transfer(spark, sf_dir):
-    part = _t(spark, sf_dir, "part")
-    stats = color.channel_stats(part, ["p_brand"], "p_retailprice")
-    reference = stats.agg(F.min_by("mean", "p_brand").alias("rm"), F.min_by("std", "p_brand").alias("rs"))
-    joined = part.join(stats, "p_brand").join(F.broadcast(reference))  # one row
-    std = F.when(F.col("std") <= 1e-6, 1.0).otherwise(F.col("std"))
-    return joined.select("p_partkey", F.round((F.col("p_retailprice") - F.col("mean")) * (F.col("rs") / std) + F.col("rm"), 4).alias("mapped"))
+    part = _t(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    first = part.agg(F.min("p_brand")).first()[0]
+    return color.reinhard_transfer(part, "p_brand", "p_retailprice", first).select("p_partkey", F.round("mapped", 4).alias("mapped"))
 
 
 @query("""
@@ -453,16 +450,16 @@ def replace_contributors(spark, sf_dir):
 
 
 @query("""
-    select p.p_partkey, l.l_orderkey, l.l_suppkey from (select *, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey, l_extendedprice) r from lineitem) l
-    join part p on p.p_partkey = l.l_partkey join supplier s on s.s_suppkey = l.l_suppkey where r <= 32""")
+    with met as (select distinct l_partkey, l_suppkey from lineitem), r as (select *, row_number() over (partition by l_partkey order by l_suppkey) n from met)
+    select l_partkey as chunk_id, l_suppkey as image_id, s_suppkey * 10 as blob_id, s_acctbal as payload from r join supplier on s_suppkey = l_suppkey where n <= 32 and s_acctbal > 0 and s_nationkey <> 7""")
 def contributor_gather(spark, sf_dir):
-    """The first 32 contributors of each chunk that are there."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
-    first = _t(spark, sf_dir, "lineitem").withColumn("r", F.row_number().over(order)).where("r <= 32")
-    part, supplier = _t(spark, sf_dir, "part").select("p_partkey"), _t(spark, sf_dir, "supplier").select("s_suppkey")
-    return first.join(part, F.col("p_partkey") == F.col("l_partkey")).join(supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("p_partkey", "l_orderkey", "l_suppkey")
+    """The first 32 images of each chunk, with the blobs of those whose colour is done and there."""
+    met = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("chunk_id"), F.col("l_suppkey").alias("image_id")).distinct()
+    supplier = _t(spark, sf_dir, "supplier")
+    done = F.when(F.col("s_nationkey") != 7, "COMPLETED").otherwise("RUNNING")
+    tasks = supplier.select(F.lit("OPTIMIZE").alias("stage"), F.lit("color").alias("unit_kind"), F.col("s_suppkey").cast("string").alias("unit_key"), done.alias("status"), (F.col("s_suppkey") * 10).alias("output_blob_id"))
+    payloads = supplier.where("s_acctbal > 0").select((F.col("s_suppkey") * 10).alias("blob_id"), F.col("s_acctbal").alias("payload"))
+    return catalog.contributors(met, tasks, payloads).select("chunk_id", "image_id", "blob_id", "payload")
 
 
 @query("select event_id, json_extract_string(props, '$.k')::varchar as k, case when try_cast(json_extract_string(props, '$.k') as bigint) is null then 'IDLE' else 'RUNNING' end as st from events")
@@ -472,14 +469,6 @@ def json_checkpoint(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", k.alias("k"), state.alias("st"))
 
 
-@query("""
-    select i::int as i, ((i::hugeint * 2654435761 + 60493) % 4294967296)::bigint as h, (((i::hugeint * 2654435761 + 60493) % 4294967296) % 31 - 15)::int as offset_x from (select unnest(range(0, 256)) i)""")
-def brief_hash(spark, sf_dir):
-    """The pattern of a binary descriptor: a hash of the bit's number, modulo 2^32, cut to -15..15."""
-    h = ((F.col("id").cast("decimal(38,0)") * F.lit(2654435761) + F.lit(60493)) % F.lit(4294967296)).cast("long")
-    return spark.range(256).select(F.col("id").cast("int").alias("i"), h.alias("h"), (h % 31 - 15).cast("int").alias("offset_x"))
-
-
 @query("""
     select lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) as ext, (lower(regexp_extract(url, '\\.([A-Za-z0-9]+)$', 1)) in ('jpg', 'jpeg', 'png', 'html'))::boolean as known, count(*)::bigint as n from pages group by 1, 2""")
 def file_kind(spark, sf_dir):

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from tessera.plans import bank
+from tessera.plans import bank, planes  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings pages".split()
