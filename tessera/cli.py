@@ -8,7 +8,7 @@ Exit codes: 0 done, 1 failed, 2 bad arguments.
 from __future__ import annotations
 
 import argparse
-import os
+import re
 import sys
 import tempfile
 
@@ -32,8 +32,14 @@ def load(spark: SparkSession, paths: list[str]):
         planes = raster_files.read_raw(spark, raw)
         parts.append(rasters.develop(planes).join(planes.select("image_id", "path"), "image_id").select("path", "width", "height", "data"))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    order = spark.createDataFrame([(k, os.path.basename(p)) for k, p in enumerate(paths)], "image_id long, name string")
-    return out.withColumn("name", F.element_at(F.split("path", "/"), -1)).join(order, "name").select("image_id", "width", "height", "data")
+    order = spark.createDataFrame([(k, _whole(spark, p)) for k, p in enumerate(paths)], "image_id long, name string")
+    return out.withColumn("name", F.regexp_replace("path", "^file:/+", "/")).join(order, "name").select("image_id", "width", "height", "data")
+
+
+def _whole(spark: SparkSession, path: str) -> str:
+    """The full path, with its store unless that is the local one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "/", p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString())
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from tessera.operators.color import DELTA, RGB_TO_XYZ, WHITE, XYZ_TO_RGB
+
 TOP = 65535.0
 
 
@@ -97,6 +99,39 @@ def warp(src: np.ndarray, h: np.ndarray, width: int, height: int, offset: tuple[
     return out
 
 
+def to_lab(rgb: np.ndarray) -> np.ndarray:
+    """Lab of sRGB samples."""
+    v = rgb.astype(np.float64) / TOP
+    linear = np.where(v <= 0.04045, v / 12.92, ((v + 0.055) / 1.055) ** 2.4)
+    t = linear @ np.array(RGB_TO_XYZ).T / np.array(WHITE)
+    f = np.where(t > DELTA**3, np.cbrt(t), t / (3 * DELTA * DELTA) + 4.0 / 29.0)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], axis=-1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """sRGB samples of Lab, clamped, the fraction dropped."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], axis=-1)
+    xyz = np.where(f > DELTA, f**3, 3 * DELTA * DELTA * (f - 4.0 / 29.0)) * np.array(WHITE)
+    linear = np.maximum(xyz @ np.array(XYZ_TO_RGB).T, 0)
+    return cut_off(np.where(linear <= 0.0031308, 12.92 * linear, 1.055 * linear ** (1 / 2.4) - 0.055) * TOP)
+
+
+def transfer(rgb: np.ndarray, own: tuple, reference: tuple) -> np.ndarray:
+    """rgb with the Lab means and deviations (three each) of ``own`` mapped to those of ``reference``; a deviation of at most 1e-6 counts as 1."""
+    (mean, std), (to_mean, to_std) = (tuple(np.asarray(x, dtype=np.float64) for x in s) for s in (own, reference))
+    return from_lab((to_lab(rgb) - mean) * (to_std / np.where(std <= 1e-6, 1.0, std)) + to_mean)
+
+
+def luma8(rgb: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Luma of the upper eight bits at whole places; NaN outside."""
+    h, w = rgb.shape[:2]
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    inside = (x >= 0) & (y >= 0) & (x < w) & (y < h)
+    v = (rgb[np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)] >> 8).astype(np.float64)
+    return np.where(inside, 0.299 * v[:, 0] + 0.587 * v[:, 1] + 0.114 * v[:, 2], np.nan)
+
+
 def psnr(a: np.ndarray, b: np.ndarray, peak: float = TOP) -> float:
     mse = np.mean((a.astype(np.float64) - b.astype(np.float64)) ** 2)
     return float("inf") if mse == 0 else float(10 * np.log10(peak * peak / mse))

@@ -60,13 +60,40 @@ def ransac(src: np.ndarray, dst: np.ndarray, iterations: int = 500, threshold: f
 
 def damped_step(jacobian: np.ndarray, residual: np.ndarray, damping: float) -> np.ndarray | None:
     """Solve (J'J with its diagonal times 1 + damping) d = -J'r."""
-    a = jacobian.T @ jacobian
+    return damped_solve(jacobian.T @ jacobian, jacobian.T @ residual, damping)
+
+
+def damped_solve(normal: np.ndarray, gradient: np.ndarray, damping: float) -> np.ndarray | None:
+    """The same from J'J and J'r; null if the matrix is not positive."""
+    a = normal.copy()
     a[np.diag_indices_from(a)] = np.maximum(np.diag(a) * (1 + damping), 1e-10)
     try:
         low = np.linalg.cholesky(a)
     except np.linalg.LinAlgError:
         return None
-    return np.linalg.solve(low.T, np.linalg.solve(low, -jacobian.T @ residual))
+    return np.linalg.solve(low.T, np.linalg.solve(low, -gradient))
+
+
+def _mapped(h: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Points after a map (eight parameters), and the derivatives by the parameters: n x 2 and n x 2 x 8."""
+    x, y = p[:, 0], p[:, 1]
+    w = h[6] * x + h[7] * y + 1
+    w = np.where(np.abs(w) < 1e-10, np.where(w < 0, -1e-10, 1e-10), w)
+    u, v = (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
+    d = np.zeros((len(p), 2, 8))
+    for row, value, first in ((0, u, 0), (1, v, 3)):
+        d[:, row, first], d[:, row, first + 1], d[:, row, first + 2] = x / w, y / w, 1 / w
+        d[:, row, 6], d[:, row, 7] = -value * x / w, -value * y / w
+    return np.column_stack([u, v]), d
+
+
+def pair_equations(ha: np.ndarray, hb: np.ndarray, rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """What one pair of images adds to the normal equations: squared residual, 16 x 16 matrix and gradient (a's parameters, then b's)."""
+    p, da = _mapped(ha, rows[:, :2])
+    q, db = _mapped(hb, rows[:, 2:])
+    r = (p - q).ravel()
+    j = np.concatenate([da, -db], axis=2).reshape(len(r), 16)
+    return float(r @ r), j.T @ j, j.T @ r
 
 
 class BundleAdjustment:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import blend as blending
 from tessera.functions import burst, features, raster, solve
+from tessera.operators import color
 
 RASTER = "image_id long, width int, height int, data binary"
 FEATURES = "image_id long, point int, x float, y float, d0 long, d1 long, d2 long, d3 long"
@@ -75,6 +76,55 @@ def apply_gain(rasters: DataFrame, gains: DataFrame) -> DataFrame:
     return rasters.join(gains, "image_id", "left").withColumn("gain", F.coalesce("gain", F.lit(1.0))).mapInPandas(run, RASTER)
 
 
+def gains(rasters: DataFrame, matches: DataFrame, reference: int) -> DataFrame:
+    """image_id, gain of every image: the luma of the reference over its own at their matches; 1 for the reference and for images without a match.
+
+    A row holds one pair's matches, of which there are no more than a matcher keeps, and both rasters.
+    """
+    other = F.when(F.col("a") == reference, F.col("b")).otherwise(F.col("a"))
+    at = lambda first, second: F.when(F.col("a") == reference, F.col(first)).otherwise(F.col(second))
+    points = matches.where((F.col("a") == reference) | (F.col("b") == reference)).select(other.alias("image_id"), *(at(x, y).cast("double").alias(n) for x, y, n in (("xa", "xb", "rx"), ("ya", "yb", "ry"), ("xb", "xa", "tx"), ("yb", "ya", "ty"))))
+    packed = points.groupBy("image_id").agg(F.collect_list(F.struct("rx", "ry", "tx", "ty")).alias("at")).select("image_id", *(F.col("at")[c].alias(c) for c in ("rx", "ry", "tx", "ty")))
+    own = rasters.select("image_id", "width", "height", "data")
+    ref = own.where(F.col("image_id") == reference).select(F.col("width").alias("rw"), F.col("height").alias("rh"), F.col("data").alias("rdata"))
+    both = packed.join(own, "image_id").crossJoin(ref)  # one row
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples():
+                a, b = raster.unpack(bytes(r.rdata), int(r.rw), int(r.rh)), _rgb(r)
+                yield pd.DataFrame({"image_id": r.image_id, "reference": raster.luma8(a, np.asarray(r.rx), np.asarray(r.ry)), "own": raster.luma8(b, np.asarray(r.tx), np.asarray(r.ty))})
+
+    samples = both.mapInPandas(run, "image_id long, reference double, own double").where("not isnan(reference) and not isnan(own)")
+    found = samples.groupBy("image_id").agg(color.gain_estimate(F.col("reference"), F.col("own")).alias("gain"))
+    return rasters.select("image_id").join(found, "image_id", "left").select("image_id", F.coalesce("gain", F.lit(1.0)).alias("gain"))
+
+
+def lab_stats(rasters: DataFrame) -> DataFrame:
+    """image_id, mean and std: of the three Lab channels over all pixels of each raster."""
+
+    def run(batches):
+        for pdf in batches:
+            lab = [raster.to_lab(_rgb(r)).reshape(-1, 3) for r in pdf.itertuples()]
+            yield pd.DataFrame({"image_id": pdf.image_id, "mean": [x.mean(axis=0) for x in lab], "std": [x.std(axis=0) for x in lab]})
+
+    return rasters.mapInPandas(run, "image_id long, mean array<double>, std array<double>")
+
+
+def color_transfer(rasters: DataFrame, reference: int) -> DataFrame:
+    """Each raster with the Lab means and deviations of the reference, which stays as it is."""
+    stats = lab_stats(rasters)
+    ref = stats.where(F.col("image_id") == reference).select(F.col("mean").alias("to_mean"), F.col("std").alias("to_std"))
+    both = rasters.join(stats, "image_id").crossJoin(F.broadcast(ref))  # one row
+
+    def run(batches):
+        for pdf in batches:
+            out = [bytes(r.data) if r.image_id == reference else raster.pack(raster.transfer(_rgb(r), (r.mean, r.std), (r.to_mean, r.to_std))) for r in pdf.itertuples()]
+            yield pd.DataFrame({"image_id": pdf.image_id, "width": pdf.width, "height": pdf.height, "data": out})
+
+    return both.mapInPandas(run, RASTER)
+
+
 def detect(rasters: DataFrame, most: int = 2000) -> DataFrame:
     """Corners and descriptors of every raster, a row each."""
 
@@ -116,17 +166,18 @@ def pair_homographies(matches: DataFrame, iterations: int = 500, threshold: floa
     return matches.groupBy("a", "b").applyInPandas(run, "a long, b long, homography array<double>, inliers int, success boolean")
 
 
-def render(rasters: DataFrame, placements: DataFrame, chunks: DataFrame, met: DataFrame, most: int = 32) -> DataFrame:
+def render(rasters: DataFrame, placements: DataFrame, chunks: DataFrame, met: DataFrame, most: int = 32, image_gains: DataFrame | None = None) -> DataFrame:
     """Chunks of the canvas: id, width, height, data, contributors.
 
     placements: image_id, homography (local to world). met: id (chunk), image_id. Each image is warped
-    into a chunk by the inverse map; the contributors of a chunk, the first ``most`` by image_id, are blended.
+    into a chunk by the inverse map and multiplied by its gain (image_id, gain); the contributors of a chunk, the first ``most`` by image_id, are blended.
     """
     from pyspark.sql import Window
 
     first = met.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("image_id"))).where(F.col("_r") <= most).drop("_r")
     shape = chunks.select("id", "x_offset", "y_offset", F.col("width").alias("cw"), F.col("height").alias("ch"))
     joined = first.join(shape, "id").join(placements, "image_id").join(rasters, "image_id")
+    joined = joined.withColumn("gain", F.lit(1.0)) if image_gains is None else joined.join(image_gains, "image_id", "left").withColumn("gain", F.coalesce("gain", F.lit(1.0)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("image_id")
@@ -136,6 +187,8 @@ def render(rasters: DataFrame, placements: DataFrame, chunks: DataFrame, met: Da
             inverse = solve.invert(np.array(r.homography))
             if inverse is not None:
                 image = raster.warp(_rgb(r), inverse, w, h, (x, y))
+                if abs(r.gain - 1) >= 1e-6:
+                    image = raster.cut_off(image.astype(np.float32) * np.float32(r.gain))
                 if image.any():
                     images.append(image)
         out = blending.blend(images) if images else np.zeros((h, w, 3), np.uint16)

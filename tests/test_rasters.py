@@ -1,14 +1,16 @@
 """Raster DataFrames end to end: files in and out, both pipelines, resume, streams, the catalog."""
 
 import os
+import shutil
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_kernels import noisy, scene, shifted
 
 from tessera import cli
-from tessera.functions import blend, raster
+from tessera.functions import blend, raster, solve
 from tessera.operators import catalog, geometry, rasters
 from tessera.plans import pipelines
 from tessera.sources import datasource, raster_files
@@ -83,24 +85,71 @@ def speckled(h, w, seed=4):
     return np.clip(a, 300, 65535).astype(np.uint16)
 
 
+STAGES = ["ingest", "features", "matches", "maps", "gains", "color", "inliers", "placements", "render"]
+
+
 def test_panorama(spark, tmp_path):
+    """Three images of unequal gain come together, and a fourth that nothing links stays in the job."""
     master = speckled(200, 420)
-    at = [0, 110, 220]
-    images = frame(spark, [master[:, x : x + 200] for x in at])
+    at, gain = [0, 110, 220], [1.0, 0.7, 0.85]
+    alone = np.full((60, 60, 3), 700, np.uint16)
+    images = frame(spark, [*(raster.cut_off(master[:, x : x + 200] * g) for x, g in zip(at, gain, strict=True)), alone])
     told = []
-    rendered, grid = pipelines.panorama(spark, images, str(tmp_path / "job"), chunk=150, canvas=(420, 200), progress=lambda *a: told.append(a))
-    assert [t[0] for t in told] == ["ingest", "features", "matches", "placements", "render"]
-    placed = {r.image_id: r.homography for r in spark.read.parquet(str(tmp_path / "job" / "placements")).collect()}
+    job = str(tmp_path / "job")
+    rendered, grid = pipelines.panorama(spark, images, job, chunk=150, canvas=(420, 200), progress=lambda *a: told.append(a))
+    assert [t[0] for t in told] == STAGES
+    placed = {r.image_id: r.homography for r in spark.read.parquet(f"{job}/placements").collect()}
     for k, x in enumerate(at):
         assert abs(placed[k][2] - x) < 1 and abs(placed[k][5]) < 1
+    assert placed[3] == np.eye(3).ravel().tolist()
+    found = {r.image_id: r.gain for r in spark.read.parquet(f"{job}/gains").collect()}
+    assert found[0] == 1 and found[3] == 1 and abs(found[1] - 1 / 0.7) < 0.1
+    mean = {r.image_id: r["mean"][0] for r in rasters.lab_stats(spark.read.parquet(f"{job}/color")).collect()}
+    assert all(abs(mean[k] - mean[0]) < 1 for k in range(3))
+    assert rendered.count() == grid.count()
     out = rasters.mosaic(rendered, grid, 420)
     assert out.shape == (200, 420, 3)
-    inner = (slice(4, -4), slice(4, -4))
-    assert raster.psnr(out[inner], master[inner]) > 15
-    # a second run takes all from the snapshots
+    # a second run takes all from the snapshots, and a stage that was lost goes on from its saved state
     before = os.path.getmtime(tmp_path / "job" / "render")
-    pipelines.panorama(spark, images, str(tmp_path / "job"), chunk=150, canvas=(420, 200))
+    pipelines.panorama(spark, images, job, chunk=150, canvas=(420, 200))
     assert os.path.getmtime(tmp_path / "job" / "render") == before
+    assert pipelines.Snapshots(spark, job).saved("adjustment")["converged"]
+    shutil.rmtree(tmp_path / "job" / "placements")
+    pipelines.panorama(spark, images, job, chunk=150, canvas=(420, 200))
+    again = {r.image_id: r.homography for r in spark.read.parquet(f"{job}/placements").collect()}
+    assert np.allclose(again[1], placed[1]) and np.allclose(again[2], placed[2])
+
+
+def test_panorama_comes_near_its_scene(spark, tmp_path):
+    master = speckled(200, 420)
+    images = frame(spark, [master[:, x : x + 200] for x in (0, 110, 220)])
+    rendered, grid = pipelines.panorama(spark, images, str(tmp_path / "job"), chunk=150, canvas=(420, 200))
+    inner = (slice(4, -4), slice(4, -4))
+    assert raster.psnr(rasters.mosaic(rendered, grid, 420)[inner], master[inner]) > 15
+
+
+def test_adjustment_on_executors_equals_the_dense_one(spark):
+    rng = np.random.default_rng(3)
+    rows, start = [], {0: np.eye(3), 1: np.eye(3), 2: np.eye(3)}
+    for a, b in ((0, 1), (1, 2), (0, 2)):
+        p = rng.uniform(0, 100, (30, 2))
+        rows += [(a, b, *q, *(q + np.array([7.0 * (a - b), 3.0]) + rng.normal(size=2) * 0.2)) for q in p]
+    pairs = spark.createDataFrame([tuple(map(float, r)) for r in rows], "a double, b double, xa double, ya double, xb double, yb double")
+    packed = pairs.groupBy(pairs.a.cast("long").alias("a"), pairs.b.cast("long").alias("b")).agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias("points"))
+    kept = []
+    got = pipelines.adjust(packed, [0, 1, 2], start, save=kept.append)
+    want = solve.BundleAdjustment([0, 1, 2], np.array(rows)).run()
+    for k in range(3):
+        corners = np.array([(0.0, 0.0), (100, 0), (0, 100), (100, 100)])
+        assert np.allclose(solve.project(got[k], corners), solve.project(want[k], corners), atol=0.1)
+    assert kept and np.allclose(pipelines.adjust(packed, [0, 1, 2], start, kept[-1])[2], got[2])
+
+
+def test_lab_kernels_are_inverse():
+    a = scene(12, 12)
+    assert np.abs(raster.from_lab(raster.to_lab(a)).astype(int) - a).max() <= 1
+    lab = raster.to_lab(raster.transfer(a, ((50, 0, 0), (0.0, 1, 1)), ((50, 0, 0), (1, 1, 1))))
+    assert np.abs(lab - raster.to_lab(a)).max() < 0.1
 
 
 @pytest.mark.parametrize("mode", ["mfnr", "hdrplus", "nightsight", "superres"])
@@ -185,6 +234,10 @@ def test_cli(spark, tmp_path):
         files.append(str(tmp_path / f"f{k}.png"))
         with open(files[-1], "wb") as f:
             f.write(raster_files.png((noisy(clean, 1500, k) >> 8).astype(np.uint8)))
+    (tmp_path / "b").mkdir()
+    shutil.copy(files[1], tmp_path / "b" / "f0.png")  # the name of another input, in another folder
+    two = {r.image_id: bytes(r.data) for r in cli.load(spark, [files[0], str(tmp_path / "b" / "f0.png")]).collect()}
+    assert len(two) == 2 and two[0] != two[1]
     out = str(tmp_path / "out.tif")
     assert cli.main(["mfnr", *files, "-o", out, "--work", str(tmp_path / "w")], spark) == 0
     with open(out, "rb") as f:
