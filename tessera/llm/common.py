@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +32,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths of all tables that this process has cut.
+#: Paths of all tables that this process has cut and not removed.
 _written: list[str] = []
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that driver and executors share; one of our own only where it is unset."""
+    """The folder in spark.checkpoint.dir that driver and executors share.
+
+    Where it is unset, a folder of our own, gone with the process, if all runs on one machine; on a cluster
+    nothing else is shared for certain, so that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("tessera.shared.dir", None)
         if not where:
-            where = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
+            if not (spark.sparkContext.master or "").split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="tessera-")
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
+            where = f"file://{own}"
             spark.conf.set("tessera.shared.dir", where)
     return where.rstrip("/")
 
@@ -48,7 +62,59 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for tables in getattr(_open, "stack", []):
+        tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextlib.contextmanager
+def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables cut within go at the end, but for those given to ``keep``, the function it yields."""
+    kept: set[str] = set()
+    tables: list[str] = []
+    _open.stack = [*getattr(_open, "stack", []), tables]
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df._cut_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _open.stack = _open.stack[:-1]
+        remove(spark, [p for p in tables if p not in kept and p in _written])
+
+
+#: Rows of a table that is broadcast, about 25 MB; a larger one is joined by a shuffle.
+FEW = 500_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """df, written once; to be broadcast if it has at most FEW rows."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
+def free_names(columns: list[str], *stems: str) -> list[str]:
+    """A name for each stem that none of the columns has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
 
 
 def bit_filter(places: DataFrame, bits: int) -> np.ndarray:
@@ -89,6 +155,4 @@ def has_bit(packed: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 def sweep(spark: SparkSession) -> None:
     """Remove all tables that this process has cut. Results that still read them must have been written before."""
-    while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, [*_written])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, transient
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -14,25 +14,26 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Edges between current roots are contracted: every root with a smaller neighbour hooks to its
     least one, chains of hooks are jumped to their ends, and the edges are renamed. A round leaves
     only roots that were least among their neighbours, so the roots at least halve. Each round's
-    tables are cut to the shared folder.
+    tables are cut to the shared folder and go at the end.
     """
-    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
-    ends = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
-    ends = cut(ends, "edges")
-    nodes = cut(ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct().select("node", F.col("node").alias("component")), "nodes")
-    while not ends.isEmpty():
-        hooks = cut(ends.groupBy("x").agg(F.min("y").alias("p")), "hooks")
-        while True:
-            up = hooks.select(F.col("x").alias("p"), F.col("p").alias("q"))
-            jumped = hooks.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
-            jumped = cut(jumped, "jumped")
-            moved = not jumped.where("moved").isEmpty()
-            hooks = jumped.select("x", "p")
-            if not moved:
-                break
-        nodes = cut(nodes.join(hooks, nodes["component"] == hooks["x"], "left").select("node", F.coalesce("p", "component").alias("component")), "nodes")
-        first = hooks.select(F.col("x"), F.col("p").alias("px"))
-        second = hooks.select(F.col("x").alias("y"), F.col("p").alias("py"))
-        renamed = ends.join(first, "x").join(second, "y", "left").select(F.col("px").alias("u"), F.coalesce("py", "y").alias("v")).where("u != v")
-        ends = cut(renamed.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct(), "edges")
-    return nodes
+    with transient(edges.sparkSession) as keep:
+        pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where(F.col("a") != F.col("b"))
+        ends = pairs.select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y")).distinct()
+        ends = cut(ends, "edges")
+        nodes = cut(ends.select(F.col("x").alias("node")).union(ends.select("y")).distinct().select("node", F.col("node").alias("component")), "nodes")
+        while not ends.isEmpty():
+            hooks = cut(ends.groupBy("x").agg(F.min("y").alias("p")), "hooks")
+            while True:
+                up = hooks.select(F.col("x").alias("p"), F.col("p").alias("q"))
+                jumped = hooks.join(up, "p", "left").select("x", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved"))
+                jumped = cut(jumped, "jumped")
+                moved = not jumped.where("moved").isEmpty()
+                hooks = jumped.select("x", "p")
+                if not moved:
+                    break
+            nodes = cut(nodes.join(hooks, nodes["component"] == hooks["x"], "left").select("node", F.coalesce("p", "component").alias("component")), "nodes")
+            first = hooks.select(F.col("x"), F.col("p").alias("px"))
+            second = hooks.select(F.col("x").alias("y"), F.col("p").alias("py"))
+            renamed = ends.join(first, "x").join(second, "y", "left").select(F.col("px").alias("u"), F.coalesce("py", "y").alias("v")).where("u != v")
+            ends = cut(renamed.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct(), "edges")
+        return keep(nodes)
