@@ -9,7 +9,9 @@ offset: their anchor. So each text is cut into runs of string starts with one an
 3. What stands round such an anchor goes to the task of its K-gram, where the suffixes that start in its
    run are sorted: a mergesort whose comparisons take the common extension of two suffixes by binary
    search over prefix hashes. Neighbours that agree over 200 bytes are checked byte by byte.
-4. Repeated starts become spans of their text. Texts are judged once, however many copies there are; a
+4. An anchor at over HOT places is split first: equal contexts become one, and what stays too large is cut
+   by longer grams, until each group is small enough for the same sort (``_hot_repeats``).
+5. Repeated starts become spans of their text. Texts are judged once, however many copies there are; a
    text with a copy goes as a whole.
 """
 
@@ -22,15 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, cut, has_bit
+from tessera.llm.common import bit_filter, cut, has_bit, small
 from tessera.llm.textkit import mix, powers, prefix_hashes, slices, span_hash, text_buffers
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 K = 64
 ANCHOR_BITS = 1 << 27
 TEXT_BITS = 1 << 26
-#: Contexts of one anchor that a task takes; beyond it the anchor's strings are counted one by one.
-HOT = 20_000
+HOT_BITS = 1 << 24
+#: Places of one anchor that go to one task as they are; an anchor at more is split by longer grams before.
+HOT = 1_000
 PIECE = 4_000
 EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -247,59 +250,55 @@ def _place(key: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(key.to_pylist()), dtype="<u8").reshape(-1, 2)
 
 
-def _runs(batch, length: int, k: int):
-    """Slice by slice: bytes, row numbers and runs of the texts in column 1, with their keys from column 0."""
-    data, offsets = text_buffers(batch.column(1))
-    keys = _place(batch.column(0))
-    for i, j in slices(offsets):
-        part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        row, low, high, anchor, gram = anchors(part, at, length, k)
-        if len(row):
-            where = mix(keys[i + row, 0] ^ mix(keys[i + row, 1] ^ (anchor - at[row]).astype(np.uint64)))
-            yield part, at, i + row, row, low, high, anchor, gram, where
+def _runs(batches, length: int, k: int):
+    """Slice by slice: keys and bytes of the texts in column 1, and runs; a text that the task has had is passed over."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        fresh = []
+        for r, key in enumerate(batch.column(0).to_pylist()):
+            if key not in seen:
+                seen.add(key)
+                fresh.append(r)
+        if len(seen) > 1_000_000:
+            seen.clear()
+        batch = batch.take(pa.array(fresh, pa.int64())) if len(fresh) < batch.num_rows else batch
+        data, offsets = text_buffers(batch.column(1))
+        keys = _place(batch.column(0))
+        for i, j in slices(offsets):
+            part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            row, low, high, anchor, gram = anchors(part, at, length, k)
+            if len(row):
+                where = mix(keys[i + row, 0] ^ mix(keys[i + row, 1] ^ (anchor - at[row]).astype(np.uint64)))
+                yield batch.column(0).slice(i, j - i), part, at, row, low, high, anchor, gram, where
 
 
 def _shared(texts: DataFrame, length: int, k: int) -> DataFrame:
     """gram, n: the anchors at two places or more; copies of a text are one place."""
 
     def run(batches):
-        for batch in batches:
-            for _, _, _, _, _, _, _, gram, where in _runs(batch, length, k):
-                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(where.view(np.int64))], names=["gram", "at"])
+        for _, _, _, _, _, _, _, gram, where in _runs(batches, length, k):
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(where.view(np.int64))], names=["gram", "at"])
 
     found = texts.select("key", "text").mapInArrow(run, "gram long, at long")
     return found.groupBy("gram").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.count(F.lit(1)).alias("n")).where("a < b").select("gram", "n")
 
 
-def _contexts(texts: DataFrame, chosen, hot, length: int, k: int) -> DataFrame:
-    """What stands round each anchor that ``chosen`` has and ``hot`` (sorted hashes) has not; a text's copies in one task once."""
+def _contexts(texts: DataFrame, chosen, hot, length: int, k: int, of_hot: bool) -> DataFrame:
+    """What stands round each anchor that the filter ``chosen`` has, of those that ``hot`` has or of the others."""
 
     def run(batches):
-        bits, skip = chosen.value, hot.value
-        seen: set[int] = set()
-        for batch in batches:
-            for part, at, number, row, low, high, anchor, gram, where in _runs(batch, length, k):
-                use = has_bit(bits, (gram & np.uint64(ANCHOR_BITS - 1)).astype(np.int64))
-                if len(skip):
-                    use &= skip[np.minimum(np.searchsorted(skip, gram), len(skip) - 1)] != gram
-                rows = np.flatnonzero(use)
-                fresh = []
-                for r, w in zip(rows.tolist(), where[rows].tolist(), strict=True):
-                    if w not in seen:
-                        seen.add(w)
-                        fresh.append(r)
-                if len(seen) > 1_000_000:
-                    seen.clear()
-                if not fresh:
-                    continue
-                rows = np.array(fresh)
-                raw = part.tobytes()
-                context = [raw[a : b + length] for a, b in zip(low[rows].tolist(), high[rows].tolist(), strict=True)]
-                key = batch.column(0).take(pa.array(number[rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram[rows].view(np.int64)), key, pa.array(low[rows] - at[row[rows]]), pa.array((anchor - low)[rows].astype(np.int32)), pa.array(context, pa.binary())],
-                    names=["gram", "key", "low", "before", "context"],
-                )
+        for key, part, at, row, low, high, anchor, gram, _ in _runs(batches, length, k):
+            use = has_bit(chosen.value, (gram & np.uint64(ANCHOR_BITS - 1)).astype(np.int64))
+            use &= has_bit(hot.value, (gram & np.uint64(HOT_BITS - 1)).astype(np.int64)) == of_hot
+            rows = np.flatnonzero(use)
+            if not len(rows):
+                continue
+            raw = part.tobytes()
+            context = [raw[a : b + length] for a, b in zip(low[rows].tolist(), high[rows].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(gram[rows].view(np.int64)), key.take(pa.array(row[rows])), pa.array(low[rows] - at[row[rows]]), pa.array((anchor - low)[rows].astype(np.int32)), pa.array(context, pa.binary())],
+                names=["gram", "key", "low", "before", "context"],
+            )
 
     return texts.select("key", "text").mapInArrow(run, "gram long, key binary, low long, before int, context binary")
 
@@ -346,32 +345,53 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "key binary, first long, last long")
 
 
-def _hot_repeats(texts: DataFrame, hot, length: int, k: int) -> DataFrame:
-    """key, first, last for anchors at too many places for one task: their strings counted by 128-bit hashes."""
+def _hot_repeats(contexts: DataFrame, length: int, k: int, limit: int) -> DataFrame:
+    """key, first, last as ``_repeats``, for anchors at too many places for one task.
 
-    def run(batches):
-        grams = hot.value
-        for batch in batches:
-            for part, at, number, row, low, high, _, gram, _ in _runs(batch, length, k):
-                rows = np.flatnonzero(grams[np.minimum(np.searchsorted(grams, gram), len(grams) - 1)] == gram)
-                if not len(rows):
-                    continue
-                prefix, again = prefix_hashes(part), prefix_hashes(part ^ np.uint8(0x5A))
-                for r in range(0, len(rows), 512):
-                    some = rows[r : r + 512]
-                    n = high[some] - low[some] + 1
-                    start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[some], n)
-                    of = np.repeat(some, n)
-                    key = batch.column(0).take(pa.array(number[of]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(span_hash(prefix, start, start + length).view(np.int64)), pa.array(span_hash(again, start, start + length).view(np.int64)), key, pa.array(start - at[row[of]])],
-                        names=["h1", "h2", "key", "start"],
-                    )
-
-    strings = texts.select("key", "text").mapInArrow(run, "h1 long, h2 long, key binary, start long")
-    place = F.xxhash64("key", "start")
-    twice = strings.groupBy("h1", "h2").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a < b").select("h1", "h2")
-    return strings.join(twice, ["h1", "h2"]).select("key", F.col("start").alias("first"), F.col("start").alias("last"))
+    Equal contexts of a group are one row, whose strings all repeat if it stands for two or more. A group
+    that still has over ``limit`` rows is split: strings whose distance from the anchor lies in one half
+    of the range share all bytes that the half's strings have in common, so a group is made for each half
+    and those bytes, and each context goes on with the part that the half's strings cover. With one
+    distance left, rows are strings, and equal ones are one row. Groups of ``limit`` rows and fewer are
+    sorted. What is found goes back by the digest of a row to those that it stands for.
+    """
+    digest = F.unhex(F.sha2(F.concat_ws(":", "grp", "before", F.hex("context")), 256))
+    places = cut(contexts.select(F.col("gram").alias("grp"), "key", "low", "before", "context").withColumn("cid", digest), "hot")
+    rows = places.select("grp", "before", "context", F.lit(1).cast("long").alias("n"), F.lit(0).alias("a"), F.lit(length - k).alias("b"))
+    found: list[DataFrame] = []
+    ups: list[DataFrame] = []
+    while True:
+        one = cut(rows.groupBy("grp", "a", "b", "before", "context").agg(F.sum("n").alias("n")).withColumn("cid", digest), "one")
+        sizes = one.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.max(F.col("b") - F.col("a")).alias("wide")).where("m > 1 and wide > 0")
+        sizes = small(sizes.select("grp", (F.col("m") > limit).alias("large")), "sizes")
+        whole = one.where("n > 1").select("cid", F.lit(0).cast("long").alias("first"), (F.octet_length("context") - length).cast("long").alias("last"))
+        sized = one.join(sizes, "grp")
+        sorted_ = sized.where("not large").select(F.col("grp").alias("gram"), F.col("cid").alias("key"), F.lit(0).cast("long").alias("low"), "before", "context")
+        found.append(cut(whole.union(_repeats(sorted_, length).select(F.col("key").alias("cid"), "first", "last")), "found"))
+        if sizes.where("large").isEmpty():
+            break
+        half = F.explode(F.array(F.struct(F.col("a"), F.expr("a + (b - a) div 2").cast("int").alias("b")), F.struct(F.expr("a + (b - a) div 2 + 1").cast("int").alias("a"), F.col("b"))))
+        cut_up = sized.where("large").select("grp", "before", "context", "n", F.col("cid").alias("up"), half.alias("h"))
+        # distances of the row's strings that lie in the half
+        cut_up = cut_up.withColumn("low", F.greatest("h.a", F.col("before") - (F.octet_length("context") - length))).withColumn("high", F.least("h.b", "before")).where("low <= high")
+        cut_up = cut_up.select(
+            F.xxhash64("grp", "h.a", "h.b", F.expr(f"substring(context, before - h.a + 1, {length} - h.b + h.a)")).alias("grp"),
+            F.col("h.a").alias("a"),
+            F.col("h.b").alias("b"),
+            F.expr(f"substring(context, before - high + 1, high - low + {length})").alias("context"),
+            (F.col("before") - F.col("high")).cast("long").alias("shift"),
+            F.col("high").cast("int").alias("before"),
+            "n",
+            "up",
+        )
+        rows = cut(cut_up.withColumn("cid", digest), "halves")
+        ups.append(rows.select("cid", "up", "shift"))
+    out = found.pop()
+    while found:
+        above = ups.pop().join(small(out.distinct(), "found"), "cid")
+        out = found.pop().union(above.select(F.col("up").alias("cid"), (F.col("first") + F.col("shift")).alias("first"), (F.col("last") + F.col("shift")).alias("last")))
+    of = places.select("cid", "key", "low").join(small(out.distinct(), "found"), "cid")
+    return of.select("key", (F.col("low") + F.col("first")).alias("first"), (F.col("low") + F.col("last")).alias("last"))
 
 
 def _cover(ranges: list, length: int, size: int) -> list[tuple[int, int]]:
@@ -403,11 +423,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     copied = cut(sized.where(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "copied")
     long = texts.where(F.octet_length("text") >= length)
     shared = cut(_shared(long, length, k), "shared")
-    few = spark.sparkContext.broadcast(np.sort(np.array([r.gram for r in shared.where(F.col("n") > hot).select("gram").collect()], dtype=np.int64).view(np.uint64)))
+    many = spark.sparkContext.broadcast(bit_filter(shared.where(F.col("n") > hot).select(F.expr(f"gram & {HOT_BITS - 1}L").alias("at")), HOT_BITS))
     chosen = spark.sparkContext.broadcast(bit_filter(shared.select(F.expr(f"gram & {ANCHOR_BITS - 1}L").alias("at")), ANCHOR_BITS))
-    ranges = _repeats(_contexts(long, chosen, few, length, k), length)
-    if len(few.value):
-        ranges = ranges.union(_hot_repeats(long, few, length, k))
+    ranges = _repeats(_contexts(long, chosen, many, length, k, False), length)
+    if many.value.any():
+        ranges = ranges.union(_hot_repeats(_contexts(long, chosen, many, length, k, True), length, k, hot))
     ranges = ranges.join(copied, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = cut(ranges, "ranges")
 

@@ -55,6 +55,19 @@ def test_dedup_is_exact(spark, seed, length, k, hot):
     assert got == brute(some, length)
 
 
+def test_hot_anchors_are_split_and_sorted(spark):
+    """A passage in every text, with other bytes at its sides, and texts that differ in its middle."""
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage, some = letters(130), []
+    for k in range(120):
+        text = passage if k % 3 else passage[:70] + rng.choice("xyz") + passage[71:]
+        some.append((k, letters(rng.randint(0, 30)) + text + letters(rng.randint(0, 30)), None, None, 0, None, None))
+    for hot in (1, 7, 1000):
+        got = sorted((tuple(r) for r in suffixes.dedup(docs(spark, some), length=40, k=13, hot=hot).collect()), key=str)
+        assert got == brute(some, 40)
+
+
 def test_spans_and_empty(spark):
     some = made(5, 40)
     for r in suffixes.dedup(docs(spark, some), length=40, k=13, spans=True).collect():
