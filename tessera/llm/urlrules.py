@@ -1,21 +1,21 @@
-"""URL filters: a memory-mapped, sorted array of 64-bit digests of rules, probed by binary search."""
+"""URL filters: a memory-mapped, sorted array of 64-bit digests of rules, probed by vectorised binary search."""
 
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
-import tempfile
 from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-_HEAD = struct.Struct("<8sQQ")
-_MAGIC = b"URLRULE1"
+from tessera.llm.common import shared_dir
+
+_HEAD = struct.Struct("<8sQQQ")
+_MAGIC = b"URLRULE2"
 
 
 def rule_key(host: str, path: str) -> str:
@@ -23,20 +23,29 @@ def rule_key(host: str, path: str) -> str:
     return f"{host}\x00{path}"
 
 
-def write_index(rules: Iterable[tuple[str, str, str]], path: str) -> None:
-    """Write (verdict, host, path) rules: digests in order, ends of the stored strings, verdicts, strings.
+def index_bytes(rules: Iterable[tuple[str, str, str]]) -> bytes:
+    """The index of (verdict, host, path) rules: digests in order, ends of the stored strings, lengths that paths have, verdicts, strings.
 
     The last of several rules with one host and path holds.
     """
     verdicts = {rule_key(h.lower(), p): v for v, h, p in rules}
-    order = sorted(verdicts, key=lambda k: (xxhash.xxh64_intdigest(k.encode()), k))
-    raw = [k.encode() for k in order]
+    raw = sorted((xxhash.xxh64_intdigest(x := k.encode()), x, v == "block") for k, v in verdicts.items())
+    sizes = sorted({len(k.partition("\x00")[2]) for k in verdicts})
+    return b"".join(
+        [
+            _HEAD.pack(_MAGIC, len(raw), sum(len(x) for _, x, _ in raw), len(sizes)),
+            np.array([d for d, _, _ in raw], dtype="<u8").tobytes(),
+            np.cumsum([0, *(len(x) for _, x, _ in raw)], dtype="<u8").tobytes(),
+            np.array(sizes, dtype="<u8").tobytes(),
+            bytes(v for _, _, v in raw),
+            *(x for _, x, _ in raw),
+        ]
+    )
+
+
+def write_index(rules: Iterable[tuple[str, str, str]], path: str) -> None:
     with open(path, "wb") as f:
-        f.write(_HEAD.pack(_MAGIC, len(order), sum(map(len, raw))))
-        f.write(np.array([xxhash.xxh64_intdigest(k) for k in raw], dtype="<u8").tobytes())
-        f.write(np.cumsum([0, *map(len, raw)], dtype="<u8").tobytes())
-        f.write(bytes(verdicts[k] == "block" for k in order))
-        f.write(b"".join(raw))
+        f.write(index_bytes(rules))
 
 
 class RuleIndex:
@@ -44,15 +53,16 @@ class RuleIndex:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            magic, n, size = _HEAD.unpack(f.read(_HEAD.size))
+            magic, n, size, m = _HEAD.unpack(f.read(_HEAD.size))
         if magic != _MAGIC:
             raise ValueError(f"{path} is no rule index")
         at = _HEAD.size
         self.keys = np.memmap(path, "<u8", "r", at, (n,)) if n else np.zeros(0, "<u8")
         self.ends = np.memmap(path, "<u8", "r", at + 8 * n, (n + 1,))
-        self.block = np.memmap(path, "u1", "r", at + 16 * n + 8, (n,)) if n else np.zeros(0, "u1")
-        self.text = np.memmap(path, "u1", "r", at + 17 * n + 8, (size,)) if size else np.zeros(0, "u1")
-        self.path_sizes = sorted({len(bytes(self.stored(k)).decode().partition("\x00")[2]) for k in range(n)})
+        at += 16 * n + 8
+        self.path_sizes = np.memmap(path, "<u8", "r", at, (m,)).tolist() if m else []
+        self.block = np.memmap(path, "u1", "r", at + 8 * m, (n,)) if n else np.zeros(0, "u1")
+        self.text = np.memmap(path, "u1", "r", at + 8 * m + n, (size,)) if size else np.zeros(0, "u1")
 
     def stored(self, k: int) -> np.ndarray:
         return self.text[int(self.ends[k]) : int(self.ends[k + 1])]
@@ -114,21 +124,30 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, path[: min((k for c in "?#" if (k := path.find(c)) >= 0), default=len(path))]
 
 
+def _shared_index(spark: SparkSession, rules: list[tuple[str, str, str]]) -> str:
+    """The name under which executors find the index of the rules."""
+    raw = index_bytes(rules)
+    name = f"url-rules-{hashlib.sha256(raw).hexdigest()[:24]}.idx"
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera/{name}")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        out = store.create(path)
+        for k in range(0, len(raw), 1 << 20):
+            out.write(bytearray(raw[k : k + (1 << 20)]))
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
     """Judge every URL by the longest rule that fits its host (or a parent domain) and begins its path.
 
-    ``rules`` are (verdict, host, path). The driver writes their index once and every executor maps the
-    same file. Returns id_col, host, path, rule (null if none fits) and verdict (``default`` if none).
+    ``rules`` are (verdict, host, path). The driver writes their index once to the shared folder, Spark
+    brings it to every executor, and all tasks there map the same file. Returns id_col, host, path, rule (null if none fits) and verdict (``default`` if none).
     A null URL and one without ``://`` have empty host and path and so no rule. Null ids and repeated
     rows stay, a row each; other columns are not carried.
     """
-    context = pages.sparkSession.sparkContext
-    name = f"url-rules-{hashlib.sha256(repr(rules).encode()).hexdigest()[:24]}.idx"
-    folder = os.path.join(tempfile.gettempdir(), f"tessera-rules-{os.getpid()}")
-    os.makedirs(folder, exist_ok=True)
-    if not os.path.exists(path := os.path.abspath(os.path.join(folder, name))):
-        write_index(rules, path)
-    context.addFile(path)
+    name = _shared_index(pages.sparkSession, rules)
 
     def run(batches):
         index = RuleIndex(SparkFiles.get(name))
