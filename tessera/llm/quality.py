@@ -177,11 +177,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str =
 
     Labels are of documents. Lines of good documents count as content, lines of bad ones as
     boilerplate; then lines of bad documents that a first model takes for content count as such, and
-    the model is fitted again. Rows without a text or a label are left out.
+    the model is fitted again. Rows without a text or a label are left out; of several texts of one id
+    that of the least hash counts, and the least of several labels.
     """
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     chosen = chosen.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "_id").where(F.col("_t").isNotNull())
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull()).join(F.broadcast(chosen), "_id")
+    first = F.min_by("_t", F.struct(F.md5("_t"), "_t"))  # one text an id, whatever the order of the rows
+    rows = rows.groupBy("_id", "_y").agg(first.alias("_t"))
 
     def run(batches):
         for batch in batches:
@@ -193,7 +196,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str =
                         yield pa.RecordBatch.from_arrays([batch.column(0).slice(i + r, 1), pa.array([int(ys[i + r])], pa.int32()), pa.array([lines.x[mine].astype(np.uint8).tobytes()], pa.binary())], names=["_id", "_y", "_x"])
 
     kind = rows.schema["_id"].dataType.simpleString()
-    found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, _x binary").toPandas().sort_values("_id", kind="stable").drop_duplicates("_id")
+    found = rows.select("_id", "_t", "_y").mapInArrow(run, f"_id {kind}, _y int, _x binary").toPandas().sort_values("_id", kind="stable")
     if found.empty:
         return LineCrf.fit(np.zeros((0, N_FEATURES)), np.zeros(0, int), np.zeros(0, int))
     chains = [np.frombuffer(x, np.uint8).reshape(-1, N_FEATURES) for x in found["_x"]]

@@ -39,7 +39,17 @@ COMMON = tuple(
     service database config setting option number code open world secure safe pass word""".split()
 )
 KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmnopqrstuvwxyz")
-DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d")
+#: Dates: year first, day first, a year alone.
+DATES = tuple(
+    map(
+        re.compile,
+        (
+            r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])",
+            r"(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d",
+            r"(?:19|20)\d\d",
+        ),
+    )
+)
 _NEXT = {a + b for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)} | {b + a for row in KEYBOARD for a, b in zip(row, row[1:], strict=False)}
 _LEET = str.maketrans("@4310$57!", "aaeiosst" + "i")
 
@@ -68,14 +78,17 @@ class GuessCost:
         each, join = math.log10(max(pool, 10)), math.log10(2)
         dates: dict[int, list[int]] = {}
         for i in range(n):
-            if low[i].isdigit() and (m := DATE.match(low, i)):
-                dates.setdefault(m.end(), []).append(i)
+            if low[i].isdigit():
+                for date in DATES:
+                    if m := date.match(low, i):
+                        dates.setdefault(m.end(), []).append(i)
         best = [0.0] + [math.inf] * n
-        run = walk = 0  # where the repeat and the walk that end here begin
+        repeats, walks = _Spans(best, 3), _Spans(best, 4)
         for j in range(1, n + 1):
-            if j > 1:
-                run = run if value[j - 1] == value[j - 2] else j - 1
-                walk = walk if low[j - 2 : j] in _NEXT else j - 1
+            if j > 1 and value[j - 1] != value[j - 2]:
+                repeats.begin(j - 1)
+            if j > 1 and low[j - 2 : j] not in _NEXT:
+                walks.begin(j - 1)
             cost = best[j - 1] + each  # brute force
             for i in range(max(0, j - self.longest), j - 2):
                 r = self.rank.get(low[i:j])
@@ -85,14 +98,33 @@ class GuessCost:
                     cost = min(cost, best[i] + math.log10(r + 1) + 3 * join)
             for i in dates.get(j, ()):
                 cost = min(cost, best[i] + math.log10(366 * 200 if j - i > 4 else 200) + join)
-            if j - run >= 3:
-                cost = min(cost, best[run] + math.log10(pool * (j - run)) + join)
-            if j - walk >= 4:
-                cost = min(cost, best[walk] + math.log10(4 * 47 * (j - walk)) + join)
+            cost = min(cost, repeats.least(j) + math.log10(pool) + join, walks.least(j) + math.log10(4 * 47) + join)
             best[j] = cost
         return best[n]
 
 
+class _Spans:
+    """The least best[i] + log10(j - i) over the starts i, ``size`` or more before j, since the run that holds j began.
+
+    A start that is no better than an earlier one when it can first be used never is later, as the ratio of
+    their lengths only falls; so few starts are kept, however long the run.
+    """
+
+    def __init__(self, best: list[float], size: int):
+        self.best, self.size, self.starts, self.first = best, size, [], 0
+
+    def begin(self, first: int) -> None:
+        self.starts, self.first = [], first
+
+    def least(self, j: int) -> float:
+        out = min((self.best[i] + math.log10(j - i) for i in self.starts), default=math.inf)
+        i = j - self.size
+        if i >= self.first and self.best[i] + math.log10(self.size) < out:
+            self.starts.append(i)
+            out = self.best[i] + math.log10(self.size)
+        return out
+
+
 class Scanner:
     """Spans of secrets in a text, in code points with exclusive ends."""
 
