@@ -38,17 +38,19 @@ def owner(df: DataFrame, keys: list[str], score: str, ties: list[str], keep: lis
     return df.where(F.col(score) > 0).groupBy(*keys).agg(best.alias("_b")).select(*keys, *[F.col("_b")[c].alias(c) for c in keep])
 
 
-def meter_motion(frames: DataFrame, frame: str, motion: str, relative: float = 2.5, absolute: float = 6.0, least: int = 2) -> DataFrame:
+def meter_motion(frames: DataFrame, frame: str, motion: str, relative: float = 2.5, absolute: float = 6.0, least: int = 2, keys: list[str] | None = None) -> DataFrame:
     """frame, motion, keep: a frame goes if it moves over ``relative`` times the upper median, or over ``absolute``.
 
-    If that would keep fewer than ``least``, the ones of least motion stay. The frames are one row each.
+    If that would keep fewer than ``least``, the ones of least motion stay. The frames are one row each;
+    ``keys`` tell bursts apart, each of which is ranked on its own.
     """
-    n = Window.partitionBy()
-    ranked = frames.select(frame, F.col(motion).alias("motion"), F.row_number().over(Window.orderBy(motion, frame)).alias("_r"), F.count(F.lit(1)).over(n).alias("_n"))
+    keys = keys or []
+    n = Window.partitionBy(*keys)
+    ranked = frames.select(*keys, frame, F.col(motion).alias("motion"), F.row_number().over(n.orderBy(motion, frame)).alias("_r"), F.count(F.lit(1)).over(n).alias("_n"))
     middle = F.max(F.when(F.col("_r") == F.floor(F.col("_n") / 2) + 1, F.col("motion"))).over(n)
     dropped = ((F.col("_med") > 0) & (F.col("motion") > relative * F.col("_med"))) | (F.col("motion") > absolute)
     judged = ranked.withColumn("_med", middle).withColumn("_ok", ~dropped).withColumn("_kept", F.sum(F.col("_ok").cast("int")).over(n))
-    return judged.select(frame, "motion", F.when((F.col("_kept") < least) & (F.col("_n") >= least), F.col("_r") <= least).otherwise(F.col("_ok")).alias("keep"))
+    return judged.select(*keys, frame, "motion", F.when((F.col("_kept") < least) & (F.col("_n") >= least), F.col("_r") <= least).otherwise(F.col("_ok")).alias("keep"))
 
 
 def noise_variance(metered: DataFrame, base: float) -> DataFrame:

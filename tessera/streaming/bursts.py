@@ -45,6 +45,20 @@ def running_merge(frames: DataFrame, sigma: float = 2000.0) -> DataFrame:
     )
 
 
+def into_table(stream: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Run a stream in update mode to the end of what is there; the rows of each batch go to Parquet in ``folder``.
+
+    Returns the last row of each key. A batch that is run again after a failure replaces what it wrote.
+    """
+    spark = stream.sparkSession
+    write = lambda rows, n: rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={n}")
+    q = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(stream.schema.add("batch", "long")).option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last")).select(*keys, *(F.col("_last")[c].alias(c) for c in rest))
+
+
 def windowed_mean(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Per window and event type: count, sum and mean of value; rows later than the watermark are dropped."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)

@@ -225,6 +225,25 @@ def test_streams(spark, tmp_path):
     q.stop()
     got = {(str(r.start), r.event_type): (r.n, r.mean) for r in spark.sql("select * from win").collect()}
     assert got["2024-01-01 00:00:00", "a"] == (2, 2.0) and len(got) == 3
+    s = spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "ev"))
+    rows = bursts.into_table(bursts.windowed_mean(s), ["start", "event_type"], f"file://{tmp_path}/table")
+    assert {(str(r.start), r.event_type): (r.n, r.mean) for r in rows.collect()} == got
+
+
+def test_late_events_are_dropped(spark, tmp_path):
+    """Appended to Parquet: a window goes out once the watermark has passed it, and what comes later does not count."""
+    batches = [["2024-01-01 00:10:00", "2024-01-01 05:00:00"], ["2024-01-01 06:10:00"], ["2024-01-01 00:20:00", "2024-01-01 07:10:00"], ["2024-01-01 09:00:00"], ["2024-01-01 09:01:00"]]
+    for k, times in enumerate(batches):
+        rows = spark.createDataFrame([(t, "a", float(k)) for t in times], "t string, event_type string, value double")
+        rows.selectExpr("cast(t as timestamp) ts", "event_type", "value").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+        for f in (tmp_path / "in" / f"{k}").iterdir():
+            os.utime(f, (1e9 + k, 1e9 + k))
+    s = spark.readStream.schema("ts timestamp, event_type string, value double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    q = bursts.windowed_mean(s).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = {str(r.start): r.n for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["2024-01-01 00:00:00"] == 1 and got["2024-01-01 05:00:00"] == 1 and "2024-01-01 09:00:00" not in got
 
 
 def test_cli(spark, tmp_path):
