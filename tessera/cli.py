@@ -51,6 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--chunk-size", type=int, default=1024)
     parser.add_argument("--preview", type=int, default=4096)
     parser.add_argument("--work", default=None)
+    parser.add_argument("--backend", choices=("auto", "cpu"), default="auto", help="both run on Spark's executors")
     try:
         args = parser.parse_args(argv)
         if not 1 <= args.quality <= 100 or args.chunk_size < 1 or len(args.files) < 2:

@@ -209,6 +209,13 @@ def fuse(low: np.ndarray, high: np.ndarray, bands: int = BANDS, sigma: float = 0
     return round_half(collapse(parts) * 65535)
 
 
+def even_blend(a: np.ndarray, b: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """Two rasters, half and half in every band of their pyramids."""
+    bands = min(bands, bands_for(*a.shape[:2]))
+    pair = [laplacian(gaussian(x.astype(np.float64), bands)) for x in (a, b)]
+    return round_half(collapse([(p + q) / 2 for p, q in zip(*pair, strict=True)]))
+
+
 def tone(a: np.ndarray, gamma: float) -> np.ndarray:
     return round_half(65535 * (a / 65535.0) ** gamma)
 

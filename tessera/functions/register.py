@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf, udtf
 
 from tessera.functions import features, raster
+from tessera.operators import color
 
 
 def register(spark: SparkSession) -> None:
@@ -22,6 +23,13 @@ def register(spark: SparkSession) -> None:
         """create or replace temporary function warp_xy(h array<double>, x double, y double) returns struct<x: double, y: double>
            return named_struct('x', (h[0] * x + h[1] * y + h[2]) / (h[6] * x + h[7] * y + h[8]), 'y', (h[3] * x + h[4] * y + h[5]) / (h[6] * x + h[7] * y + h[8]))"""
     )
+    lin = lambda c: f"if({c} / 65535D <= 0.04045D, {c} / 65535D / 12.92D, power(({c} / 65535D + 0.055D) / 1.055D, 2.4D))"
+    f = lambda k: f"aggregate(array(0), 0D, (s, i) -> if(v[{k}] > power(6D / 29D, 3D), cbrt(v[{k}]), v[{k}] / (3D * power(6D / 29D, 2D)) + 4D / 29D))"
+    xyz = ", ".join("(" + " + ".join(f"{m}D * {lin(c)}" for m, c in zip(row, "rgb", strict=True)) + f") / {w}D" for row, w in zip(color.RGB_TO_XYZ, color.WHITE, strict=True))
+    spark.sql(
+        f"""create or replace temporary function rgb_to_lab(r double, g double, b double) returns struct<l: double, a: double, b: double>
+            return transform(array(array({xyz})), v -> named_struct('l', 116D * {f(1)} - 16D, 'a', 500D * ({f(0)} - {f(1)}), 'b', 200D * ({f(1)} - {f(2)})))[0]"""
+    )
     spark.udf.register("sigma_median", sigma_median)
     spark.udtf.register("fast_corners", FastCorners)
 
@@ -55,7 +63,5 @@ class FastCorners:
 
 def lab(spark: SparkSession, df, r: str, g: str, b: str):
     """df with columns l, a, b."""
-    from tessera.operators import color
-
     values = color.rgb_to_lab(F.col(r), F.col(g), F.col(b))
     return df.withColumns(dict(zip(("lab_l", "lab_a", "lab_b"), values, strict=True)))

@@ -58,6 +58,12 @@ def ransac(src: np.ndarray, dst: np.ndarray, iterations: int = 500, threshold: f
     return best, most, most > 0
 
 
+def batched_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix products of a batch (batch x m x k, batch x k x n): factors in half precision, sums in single."""
+    half = [x.astype(np.float16).astype(np.float32) for x in (a, b)]
+    return np.matmul(*half)
+
+
 def damped_step(jacobian: np.ndarray, residual: np.ndarray, damping: float) -> np.ndarray | None:
     """Solve (J'J with its diagonal times 1 + damping) d = -J'r."""
     return damped_solve(jacobian.T @ jacobian, jacobian.T @ residual, damping)

@@ -6,6 +6,8 @@ chunk, which pairs there are) is a join; a kernel sees only the rows of its own
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -52,6 +54,54 @@ def tiled(rasters: DataFrame, size: int, halo: int = 0) -> DataFrame:
     return rasters.mapInPandas(run, "image_id long, tile_x int, tile_y int, x0 int, y0 int, width int, height int, left int, top int, data binary")
 
 
+def region(rasters: DataFrame, x: int, y: int, width: int, height: int) -> DataFrame:
+    """The part of each raster within a rectangle, which is cut to the raster; rasters that it misses are left out."""
+    return mapped(rasters, lambda a: a[max(0, y) : max(0, y + height), max(0, x) : max(0, x + width)])
+
+
+def thumbnail(rasters: DataFrame, percent: int) -> DataFrame:
+    """Each raster at half its size if ``percent`` is under 100: the mean of two by two pixels."""
+
+    def half(a: np.ndarray) -> np.ndarray:
+        h, w = a.shape[0] // 2 * 2, a.shape[1] // 2 * 2
+        b = a[:h, :w].astype(np.uint32)
+        return ((b[::2, ::2] + b[1::2, ::2] + b[::2, 1::2] + b[1::2, 1::2]) // 4).astype(np.uint16)
+
+    return mapped(rasters, half) if percent < 100 else rasters.select("image_id", "width", "height", "data")
+
+
+#: Kernels by name, raster in and raster out (height x width x 3, uint16); ``plug_in`` adds more.
+KERNELS: dict[str, Callable[..., np.ndarray]] = {
+    "painterly": blending.painterly,
+    "tone": blending.tone,
+    "blur": lambda a: raster.round_half(blending.blur(a.astype(np.float64))),
+    "halve": lambda a: raster.round_half(blending.down(a.astype(np.float64))),
+}
+
+
+def plug_in(name: str, kernel: Callable[..., np.ndarray]) -> None:
+    """Make a kernel known to ``apply_kernel``."""
+    KERNELS[name] = kernel
+
+
+def apply_kernel(rasters: DataFrame, name: str, **options) -> DataFrame:
+    """Each raster through the kernel of that name; KeyError if there is none."""
+    kernel = KERNELS[name]
+    return mapped(rasters, lambda a: kernel(a, **options))
+
+
+def mapped(rasters: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """Each raster through a kernel; empty results are left out."""
+
+    def run(batches):
+        for pdf in batches:
+            out = [(r.image_id, kernel(_rgb(r))) for r in pdf.itertuples()]
+            rows = [(k, a.shape[1], a.shape[0], raster.pack(a)) for k, a in out if a.size]
+            yield pd.DataFrame(rows, columns=["image_id", "width", "height", "data"])
+
+    return rasters.select("image_id", "width", "height", "data").mapInPandas(run, RASTER)
+
+
 def pixels(rasters: DataFrame) -> DataFrame:
     """The long layout: image_id, y, x, r, g, b, for operators that are plain expressions."""
 

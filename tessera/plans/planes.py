@@ -336,6 +336,20 @@ def fuse_2d(spark, sf_dir):
     return _cells(spark, sf_dir, lambda a: [blend.fuse(_three(a), _three(_moved(a)), bands=1)[..., 0].astype(np.int32)], {"v": "int"})
 
 
+@query(f"""
+    with {_PX}, {_SRC} select c.im, c.y, c.x, (c.v // 2 + p.v // 2)::int as v from px c join src p on p.im = c.im and p.y = c.y and p.x = c.x""")
+def even_blend_2d(spark, sf_dir):
+    """Two frames of even values half and half in every band, which is their mean."""
+    return _cells(spark, sf_dir, lambda a: [(blend.even_blend(_three(a // 2 * 2), _three(_moved(a) // 2 * 2))[..., 0]).astype(np.int32)], {"v": "int"})
+
+
+@query(f"""
+    with {_PX} select a.im, a.y, b.x, sum((a.v % 50) * (b.v % 37))::bigint as v from px a join px b on b.im = a.im and b.y = a.x group by 1, 2, 3""")
+def batched_product_2d(spark, sf_dir):
+    """The products of two matrices of each plane, with small whole numbers that half precision holds."""
+    return _cells(spark, sf_dir, lambda a: [solve.batched_product((a % 50)[None], (a % 37)[None])[0].astype(np.int64)], {"v": "long"})
+
+
 # solvers: the true maps are known ------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import raster
+from tessera.operators.color import RGB_TO_XYZ
 
 STANDARD = ("jpg", "jpeg", "png", "bmp", "gif", "tga", "tif", "tiff")
 RAW = ("dng", "raf", "cr2", "nef", "arw")
@@ -96,11 +97,25 @@ def strips(data: bytes, fields: dict) -> np.ndarray:
     return np.frombuffer(raw, dtype=fields["order"] + "u2").astype(np.uint16)
 
 
-def parse_dng(data: bytes) -> dict:
-    """A sensor plane: width, height, black, gains, matrix, filters, make, model, data."""
+def camera_matrix(matrix: tuple[float, ...] | None) -> list[list[float]]:
+    """Camera colours to sRGB, rows of four, from nine numbers that take XYZ to the camera; the identity without them.
+
+    A camera row is scaled so that white stays white.
+    """
+    if not matrix or len(matrix) != 9:
+        return [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]]
+    camera = np.array(matrix, dtype=np.float64).reshape(3, 3) @ np.array(RGB_TO_XYZ)
+    total = camera.sum(axis=1, keepdims=True)
+    if (np.abs(total) < 1e-9).any() or abs(np.linalg.det(camera)) < 1e-9:
+        return camera_matrix(None)
+    return [[*row, 0.0] for row in np.linalg.inv(camera / total).tolist()]
+
+
+def parse_dng(data: bytes, pixels: bool = True) -> dict:
+    """A sensor plane: width, height, black, gains, matrix, filters, make, model, data (null without ``pixels``)."""
     f = parse_tiff(data)
     w, h = f["width"][0], f["height"][0]
-    plane = strips(data, f)[: w * h].reshape(h, w)
+    plane = strips(data, f)[: w * h].reshape(h, w) if pixels else None
     cells = (f["pattern"] or (0, 1, 1, 2))[:4]
     word = 0
     for row in range(8):
@@ -109,11 +124,11 @@ def parse_dng(data: bytes) -> dict:
     neutral = f["neutral"] or (1.0, 1.0, 1.0)
     gains = [1.0 / (x or 1.0) for x in neutral] + [0.0]
     gains[3] = gains[3] if gains[3] > 0 else gains[1]
-    return {"width": w, "height": h, "black": int((f["black"] or (0,))[0]), "gains": gains, "matrix": [[1.0, 0, 0, 0], [0, 1.0, 0, 0], [0, 0, 1.0, 0]], "filters": word, "make": f["make"] or "", "model": f["model"] or "", "preview": None, "data": raster.pack(plane)}
+    return {"width": w, "height": h, "black": int((f["black"] or (0,))[0]), "gains": gains, "matrix": camera_matrix(f["matrix"]), "filters": word, "make": f["make"] or "", "model": f["model"] or "", "preview": None, "data": raster.pack(plane) if pixels else None}
 
 
-def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Sensor planes of all files under a path that can be parsed; others come with null data."""
+def read_raw(spark: SparkSession, path: str, pixels: bool = True) -> DataFrame:
+    """Sensor planes of all files under a path that can be parsed; others come with null data. Without ``pixels`` the samples are not unpacked."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{dng,DNG}").load(path).select("path", "content")
 
     def parse(batches):
@@ -121,7 +136,7 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
             rows = []
             for p, content in zip(pdf.path, pdf.content, strict=True):
                 try:
-                    rows.append({"path": p} | parse_dng(content))
+                    rows.append({"path": p} | parse_dng(content, pixels))
                 except (ValueError, struct.error, TypeError, IndexError):
                     rows.append({"path": p})
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in PLANE.split(", ")][1:])
@@ -136,6 +151,33 @@ def metadata(planes: DataFrame) -> DataFrame:
     return planes.drop("data", "preview")
 
 
+def read_metadata(spark: SparkSession, path: str) -> DataFrame:
+    """The same from files, without unpacking a sample."""
+    return metadata(read_raw(spark, path, pixels=False))
+
+
+def detect_images(spark: SparkSession, path: str) -> DataFrame:
+    """path, kind (raw or standard), width, height of every image under a path; null sizes for raw files that cannot be parsed."""
+    raw = read_metadata(spark, path).select("path", F.lit("raw").alias("kind"), "width", "height")
+    return raw.unionByName(dimensions(spark, path).where(~extension(F.col("path")).isin(*RAW)).select("path", F.lit("standard").alias("kind"), "width", "height"))
+
+
+def previews(spark: SparkSession, path: str) -> DataFrame:
+    """path, width, height, data: 8-bit RGB of every image under a path, standard ones as they are, raw ones developed."""
+    from tessera.operators import rasters
+
+    planes = read_raw(spark, path)
+    raw = rasters.develop(planes).join(planes.select("image_id", "path"), "image_id").select("path", "width", "height", "data")
+    both = read_images(spark, path).where(~extension(F.col("path")).isin(*RAW)).select("path", "width", "height", "data").unionByName(raw)
+
+    def narrow(batches):
+        for pdf in batches:
+            pdf["data"] = [(np.frombuffer(x, "<u2") >> 8).astype(np.uint8).tobytes() for x in pdf.data]
+            yield pdf
+
+    return both.mapInPandas(narrow, "path string, width int, height int, data binary")
+
+
 def _directory(entries: list[tuple[int, int, tuple]], data: bytes) -> bytes:
     """A little-endian file of one directory; the strip follows its values."""
     head = 8 + 2 + 12 * len(entries) + 4
@@ -184,7 +226,7 @@ def png(rgb8: np.ndarray) -> bytes:
 
 
 def write_jpeg(spark: SparkSession, rgb8: np.ndarray, path: str, quality: int = 95) -> None:
-    """Encode one image with the JVM's writer; the driver's file system."""
+    """Encode one image with the JVM's writer."""
     jvm = spark._jvm
     h, w = rgb8.shape[:2]
     image = jvm.java.awt.image.BufferedImage(w, h, 1)
@@ -194,25 +236,36 @@ def write_jpeg(spark: SparkSession, rgb8: np.ndarray, path: str, quality: int =
     param = writer.getDefaultWriteParam()
     param.setCompressionMode(2)
     param.setCompressionQuality(float(quality) / 100)
-    stream = jvm.javax.imageio.stream.FileImageOutputStream(jvm.java.io.File(path))
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
     try:
         writer.setOutput(stream)
         writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
     finally:
         writer.dispose()
         stream.close()
+    store(spark, bytes(out.toByteArray()), path)
+
+
+def store(spark: SparkSession, data: bytes, path: str) -> None:
+    """Write one file to whatever store its path names."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where)
+    try:
+        for k in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[k : k + (1 << 20)]))
+    finally:
+        out.close()
 
 
 def write_output(spark: SparkSession, rgb: np.ndarray, path: str, quality: int = 95) -> None:
     """By extension: 16-bit TIFF, 8-bit JPEG or PNG; ValueError for any other."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind in ("tif", "tiff"):
-        with open(path, "wb") as f:
-            f.write(tiff16(rgb))
+        store(spark, tiff16(rgb), path)
     elif kind in ("jpg", "jpeg"):
         write_jpeg(spark, (rgb >> 8).astype(np.uint8), path, quality)
     elif kind == "png":
-        with open(path, "wb") as f:
-            f.write(png((rgb >> 8).astype(np.uint8)))
+        store(spark, png((rgb >> 8).astype(np.uint8)), path)
     else:
         raise ValueError(f"no writer for .{kind}")

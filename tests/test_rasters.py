@@ -74,6 +74,30 @@ def test_layouts(spark):
     assert (raster.unpack(bytes(gained.data), 33, 20) == raster.cut_off(a.astype(np.float32) * np.float32(1.5))).all()
 
 
+def test_parts_and_kernels(spark):
+    a = scene(20, 33)
+    df = frame(spark, [a])
+    one = lambda out: (lambda r: raster.unpack(bytes(r.data), r.width, r.height))(out.first())
+    assert (one(rasters.region(df, 5, -3, 100, 10)) == a[:7, 5:]).all() and rasters.region(df, 40, 0, 5, 5).count() == 0
+    assert one(rasters.thumbnail(df, 50)).shape == (10, 16, 3) and (one(rasters.thumbnail(df, 100)) == a).all()
+    rasters.plug_in("negative", lambda v, top=65535: (top - v).astype(np.uint16))
+    assert (one(rasters.apply_kernel(df, "negative")) == 65535 - a).all() and (one(rasters.apply_kernel(df, "tone", gamma=1.0)) == a).all()
+    with pytest.raises(KeyError):
+        rasters.apply_kernel(df, "none such")
+
+
+def test_detect_and_previews(spark, tmp_path):
+    a = scene(12, 16)
+    (tmp_path / "a.png").write_bytes(raster_files.png((a >> 8).astype(np.uint8)))
+    (tmp_path / "b.dng").write_bytes(raster_files.dng(a[..., 0]))
+    got = {r.path.rsplit("/", 1)[-1]: (r.kind, r.width, r.height) for r in raster_files.detect_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": ("standard", 16, 12), "b.dng": ("raw", 16, 12)}
+    shown = {r.path.rsplit("/", 1)[-1]: len(r.data) for r in raster_files.previews(spark, str(tmp_path)).collect()}
+    assert shown == {"a.png": 16 * 12 * 3, "b.dng": 16 * 12 * 3}
+    m = np.array(raster_files.camera_matrix((0.9, 0.1, 0.0, 0.05, 0.8, 0.1, 0.0, 0.1, 0.7)))
+    assert np.allclose(m[:, :3].sum(axis=1), 1) and raster_files.camera_matrix(None)[0] == [1.0, 0, 0, 0]
+
+
 def speckled(h, w, seed=4):
     """A scene with corners: rectangles of all sizes on a slope."""
     rng = np.random.default_rng(seed)

@@ -59,6 +59,7 @@ def test_scheduler(spark):
     rows = {r.task_id: r for r in after.collect()}
     assert ok and all(r.status == "COMPLETED" for r in rows.values()) and rows[1].attempt_count == 3 and rows[0].output_blob_id == 100
     assert calls.count(2) == 0 and told[-1] == (5, 5)
+    assert rows[0].updated_at > 1_700_000_000 and rows[2].updated_at is None
 
     def broken(t):
         raise RuntimeError("no")
@@ -80,6 +81,8 @@ def test_registered_functions(spark):
     assert spark.sql("select hamming256(array(1L, 0L, 0L, 3L), array(0L, 0L, 0L, 0L)) h").first().h == 3
     assert spark.sql("select warp_xy(array(1D, 0D, 3D, 0D, 1D, -2D, 0D, 0D, 1D), 1D, 1D) p").first().p.asDict() == {"x": 4.0, "y": -1.0}
     assert spark.sql("select sigma_median(array(1D, 2D, 3D, 2D, 2D, 3D, 900D)) m, sigma_median(array(4D, 1D)) n").first() == (2.0, 4.0)
+    lab = spark.sql("select rgb_to_lab(12000D, 30000D, 50000D) v").first().v
+    assert np.allclose(list(lab), raster.to_lab(np.array([[[12000, 30000, 50000]]]))[0, 0])
     a = np.full((32, 32, 3), 32768, np.uint16)
     a[8:16, 8:16] = 65535
     df = spark.createDataFrame([(32, 32, raster.pack(a))], "w int, h int, data binary")
