@@ -1,16 +1,18 @@
-"""N-gram Jaccard join: candidate regions, pivots with Voronoi cells and triangle-inequality windows.
+"""N-gram Jaccard join: pivots, cells of the documents round them, and triangle-inequality windows.
 
 Jaccard distance is a metric, so a pivot's distances bound those between documents. But most pairs of
 documents share nothing and stand at distance 1 from each other and from any pivot, where the
-inequality says nothing; so the space is first cut into regions that no link can cross, by prefix
-filtering. Within a region documents are close, and pivots work.
+inequality says nothing. So a pivot's cell has only documents that can be linked by way of a rare
+shingle that the pivot has, and a document at the boundary of several pivots goes to the cell of each.
 
 1. A table of counters, of a fixed size, gets the document frequencies of all shingles (``frequencies``).
 2. Each document's shingles are put in the order (counter, hash). Two sets with a similarity of t share
    one of their first n - ceil(t * n) + 1, the rarest (``signatures``). Sets that are equal are one node.
-3. Nodes that share such a shingle are joined by stars; connected components are the regions.
-4. Each region is joined by pivots (``RegionJoin``); a region too large for one task is cut into chunks
-   by its pivots, and pairs of chunks that the windows leave open are joined one by one.
+3. The pivot of a shingle is the least node that has it; a node belongs to the cells of all pivots of its
+   shingles, so two that can be linked meet in one (``cells_of``). Cells that another one contains go.
+4. Each cell is joined by Voronoi cells within it, whose boundary documents are replicated by windows,
+   recursively (``RegionJoin``); a cell too large for one task is cut into chunks by its pivots, and pairs
+   of chunks that the windows leave open are joined one by one (``_chunked``).
 5. Components over the links give the result.
 """
 
@@ -24,14 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bit_filter, cut, has_bit
+from tessera.llm.common import bit_filter, cut, free_names, has_bit, small
 from tessera.llm.graph import components
 from tessera.llm.textkit import Words, mix, ngram_hashes, slices, text_buffers
 
 COUNTERS = 1 << 25
 CHUNK = 1 << 16
-#: Documents of a large region that one task measures against its pivots; rows of a table that is broadcast.
-PIECE, FEW = 2000, 500_000
+#: Documents of a large cell that one task measures against its pivots.
+PIECE = 500
 FILTER_BITS = 1 << 26
 
 
@@ -72,10 +74,16 @@ def _sequence(hashes: np.ndarray) -> int:
     return value
 
 
+def _encoded(n: np.ndarray) -> np.ndarray:
+    """Counts as bytes: up to 31 as they are, from there eight steps for each doubling, so that 2**32 and less are told apart."""
+    return np.where(n < 32, n, np.minimum(32 + 8 * (np.log2(np.maximum(n, 32)) - 5), 255)).astype(np.uint8)
+
+
 def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
-    """COUNTERS document frequencies of all shingles, each counter that of all shingles with its hash; at most 255.
+    """COUNTERS document frequencies of all shingles, ``_encoded``, each counter that of all shingles with its hash.
 
-    What is shuffled is a packed byte for each counter and task, what the driver gets 32 MB, whatever the corpus.
+    What is shuffled is a packed byte for each counter and task, what the driver gets 32 MB, whatever the
+    corpus. A task counts to 255; the sums of tasks have no bound, so counters never fill up.
     """
 
     def count(batches):
@@ -94,9 +102,12 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 part = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
-                have[k] = np.minimum(have[k].astype(np.uint16) + part, 255).astype(np.uint8) if k in have else part
+                if k in have:
+                    have[k] += part
+                else:
+                    have[k] = part.astype(np.uint32)
         for k, n_ in have.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n_.tobytes()], pa.binary())], names=["k", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([_encoded(n_).tobytes()], pa.binary())], names=["k", "n"])
 
     parts = docs.select(text_col).mapInArrow(count, "k int, n binary").repartition("k").mapInArrow(add, "k int, n binary")
     out = np.zeros(COUNTERS, dtype=np.uint8)
@@ -120,36 +131,71 @@ def index_size(n: Column, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, counters, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, size, k1, k2 (digest of the set) and the prefix of each document."""
+    """id, size, k1, k2 (digest of the set) and the prefix of each document, less what only it has in the corpus.
+
+    A set that the task has had, and a row without an id, come without a prefix. ``wide`` is the number of
+    shingles that the prefix had before; ``at`` has the places of those left.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         table = counters.value
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 sets = Sets(Words(data, offsets, i, j), n)
                 k1, k2 = sets.digests()
-                order = np.lexsort((sets.values, table[_counter(sets.values)], sets.row))
-                take = np.where(sets.size * (100 - percent) >= percent, prefix_size(sets.size, percent), 0)  # smaller sets have only equal partners
+                fresh = known[i:j] & (sets.size > 0)
+                for r, pair in enumerate(zip(k1.tolist(), k2.tolist(), strict=True)):
+                    if fresh[r]:
+                        fresh[r] = pair not in seen
+                        seen.add(pair)
+                if len(seen) > 500_000:
+                    seen.clear()
+                rank = table[_counter(sets.values)]
+                order = np.lexsort((sets.values, rank, sets.row))
+                take = np.where(fresh & (sets.size * (100 - percent) >= percent), prefix_size(sets.size, percent), 0)  # smaller sets have only equal partners
                 place = np.arange(len(sets.values)) - sets.start[sets.row]
-                some = sets.values[order][place < take[sets.row]].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
+                use = (place < take[sets.row]) & (rank[order] > 1)
+                some = sets.values[order][use].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(sets.row[use], minlength=j - i))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(some))],
+                    [
+                        batch.column(0).slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(place[use].astype(np.int32)), pa.array(some)], names=["at", "sig"])),
+                    ],
                     names=["id", "size", "k1", "k2", "prefix"],
-                )
+                )
+
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, prefix array<struct<at:int,sig:long>>")
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, prefix array<long>")
+
+def cells_of(sized: DataFrame, percent: int) -> DataFrame:
+    """k1, hub: the cells that each node belongs to, named by their pivot; cells of one node are not there.
+
+    The pivot of a shingle is the least node that has it in its index prefix. If all nodes of a cell have
+    one least cell, that one contains it, and it is left out.
+    """
+    seen = sized.select("k1", "size", F.inline("prefix"))
+    hubs = seen.where(F.col("at") < index_size(F.col("size"), percent)).groupBy("sig").agg(F.min("k1").alias("hub"))
+    stars = cut(seen.select("k1", "sig").join(hubs, "sig").where("k1 != hub").select("k1", "hub").distinct(), "stars")
+    every = stars.union(stars.select(F.col("hub").alias("k1"), "hub").distinct())
+    least = every.groupBy("k1").agg(F.min("hub").alias("least"), F.collect_list("hub").alias("hubs"))  # no more hubs than the prefix has shingles
+    dealt = cut(least.select("k1", "least", F.explode("hubs").alias("hub")), "dealt")
+    within = dealt.groupBy("hub").agg(F.min("least").alias("low"), F.max("least").alias("high")).where("low = high and low != hub").select("hub")
+    return dealt.select("k1", "hub").join(within, "hub", "left_anti")
 
 
 class RegionJoin:
-    """The links of one region, as a forest: pivots, Voronoi cells, windows, and exact counts.
+    """The links of one cell, as a forest: pivots, Voronoi cells, windows, and exact counts.
 
-    Only connections matter, so pairs that are connected already are passed over.
+    Only connections matter, so pairs that are connected already are passed over. ``opened`` counts the
+    Voronoi cells; those of LEAF documents and fewer are compared one by one.
     """
 
-    LEAF, PIVOTS = 48, 6
+    LEAF, PIVOTS = 3, 6
 
     def __init__(self, sets: list[np.ndarray], percent: int):
         self.percent, self.radius = percent, 1 - percent / 100 + 1e-12
@@ -159,6 +205,7 @@ class RegionJoin:
         self.start = np.cumsum(self.size) - self.size
         self.mark = np.zeros(int(self.token.max()) + 1 if len(flat) else 1, dtype=bool)
         self.root = np.arange(len(sets))
+        self.opened = 0
 
     def shared(self, x: int, others: np.ndarray) -> np.ndarray:
         """Shingles that x shares with each of the others."""
@@ -214,6 +261,7 @@ class RegionJoin:
             reach = near[:, k] <= far + 2 * self.radius  # x may link into cell k only so
             radius = near[inside & native, k].max(initial=-1.0)
             keep = inside | (reach & (near[:, k] <= radius + self.radius))
+            self.opened += 1
             if keep.sum() > 0.8 * len(docs):
                 self._leaf(docs[keep], (native & inside)[keep], known[keep])
             else:
@@ -241,21 +289,30 @@ class RegionJoin:
 class LinkCount(RegionJoin):
     """The documents that each one is linked with, counted with their weights; no pair is passed over.
 
-    Roots stay as they are; documents of one root are not counted for each other.
+    Roots stay as they are; documents of one root are not counted for each other. Nor are two that meet in
+    a cell of a lesser name than ``cell`` too (``hubs``: the cells of each), so a pair counts once.
     """
 
-    def __init__(self, sets: list[np.ndarray], percent: int, weight: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], percent: int, weight: np.ndarray, cell: int, hubs: list[list[int]]):
         super().__init__(sets, percent)
         self.weight, self.links = weight, np.zeros(len(sets), np.int64)
+        self.before: list[list[int]] = [[h for h in some if h < cell] for some in hubs]
+        self.has: dict[int, np.ndarray] = {}
+        for x, some in enumerate(self.before):
+            for h in some:
+                self.has.setdefault(h, np.zeros(len(sets), dtype=bool))[x] = True
 
     def distances(self, x: int, others: np.ndarray) -> np.ndarray:
         both = self.shared(x, others)
         return 1 - both / (self.size[x] + self.size[others] - both)
 
     def compare(self, x: int, others: np.ndarray) -> None:
-        both = self.shared(x, others)
-        linked = 100 * both >= self.percent * (self.size[x] + self.size[others] - both)
-        self.links[x] += self.weight[others[linked]].sum()
+        for h in self.before[x]:
+            others = others[~self.has[h][others]]
+        if len(others):
+            both = self.shared(x, others)
+            linked = 100 * both >= self.percent * (self.size[x] + self.size[others] - both)
+            self.links[x] += self.weight[others[linked]].sum()
 
 
 def sets_of(texts: pa.Array | pa.ChunkedArray, n: int) -> list[np.ndarray]:
@@ -269,7 +326,7 @@ def sets_of(texts: pa.Array | pa.ChunkedArray, n: int) -> list[np.ndarray]:
 
 
 def _links(table: pa.Table, n: int, percent: int) -> pa.Table:
-    """The forest of a region, or of a pair of chunks whose documents come with what they are known to be connected with."""
+    """The forest of a cell, or of a pair of chunks whose documents come with what they are known to be connected with."""
     keys = table.column("key").to_pylist()
     order = sorted(range(len(keys)), key=keys.__getitem__)
     order = [k for i, k in enumerate(order) if not i or keys[k] != keys[order[i - 1]]]
@@ -284,12 +341,12 @@ def _links(table: pa.Table, n: int, percent: int) -> pa.Table:
 
 
 def _counts(table: pa.Table, n: int, percent: int) -> pa.Table:
-    """key and links, the weights of what it is linked with in a region, or between the two chunks of a pair."""
+    """key and links, the weights of what it is linked with in a cell, or between the two chunks of a pair."""
     keys = table.column("key").to_pylist()
     order = sorted(range(len(keys)), key=keys.__getitem__)
     order = [k for i, k in enumerate(order) if not i or keys[k] != keys[order[i - 1]]]
     taken = table.take(pa.array(order))
-    join = LinkCount(sets_of(taken.column("text"), n), percent, taken.column("copies").to_numpy())
+    join = LinkCount(sets_of(taken.column("text"), n), percent, taken.column("copies").to_numpy(), taken.column("region")[0].as_py(), taken.column("hubs").to_pylist())
     if "chunk" in table.column_names:
         sides = np.unique(taken.column("chunk").to_numpy(), return_inverse=True)[1]
         if sides.any():
@@ -307,12 +364,14 @@ def _texts_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> Da
     def run(batches):
         bits = chosen.value
         for batch in batches:
+            h = batch.column(0).to_numpy(zero_copy_only=False)
+            batch = batch.filter(pa.array(has_bit(bits, _place_of(h))))
             data, offsets = text_buffers(batch.column(1))
-            ids = batch.column(0)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j in slices(offsets):
                 sets = Sets(Words(data, offsets, i, j), n)
                 k1, k2 = sets.digests()
-                rows = np.flatnonzero(has_bit(bits, _filter_place(ids.slice(i, j - i), k1)) & (sets.size > 0))
+                rows = np.flatnonzero(has_bit(bits, _place_of(ids[i:j], k1)) & (sets.size > 0))
                 if len(rows):
                     keys = [_key(a, b) for a, b in zip(k1[rows].tolist(), k2[rows].tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array(k1[rows]), pa.array(keys, pa.binary()), batch.column(1).take(pa.array(rows + i))], names=["k1", "key", "text"])
@@ -324,25 +383,28 @@ def _key(k1: int, k2: int) -> bytes:
     return (k1 & (1 << 64) - 1).to_bytes(8, "big") + (k2 & (1 << 64) - 1).to_bytes(8, "big")
 
 
-def _filter_place(h: pa.Array, k1: np.ndarray) -> np.ndarray:
-    return ((h.to_numpy(zero_copy_only=False).view(np.uint64) ^ mix(k1.view(np.uint64))) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+def _place_of(h: np.ndarray, k1: np.ndarray | None = None) -> np.ndarray:
+    """The bit of an id's hash, or of it and a set."""
+    both = h.view(np.uint64) if k1 is None else h.view(np.uint64) ^ mix(k1.view(np.uint64))
+    return (both & np.uint64(FILTER_BITS - 1)).astype(np.int64)
 
 
 def _filter(members: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits with those of all members (h, k1) set; a fixed 8 MB."""
+    """FILTER_BITS bits with those of all members (h, k1) set, and those of h alone; a fixed 8 MB."""
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_filter_place(batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)))], names=["at"])
+            h, k1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([_place_of(h), _place_of(h, k1)]))], names=["at"])
 
     return bit_filter(members.select("h", "k1").mapInArrow(run, "at long"), FILTER_BITS)
 
 
 def _chunked(big: DataFrame, n: int, percent: int, limit: int, every: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Regions too large for one task: links with pivots, and what remains as pairs of chunks.
+    """Cells too large for one task: links with pivots, and what remains as pairs of chunks.
 
-    big: region, m (documents of the region), key, text. Every document is measured against up to 17
-    pivots of its region, piece by piece of at most PIECE documents. Links with pivots give connected
+    big: region (the cell), m (documents of the cell), key, text, hubs. Every document is measured against
+    up to 17 pivots of its cell, piece by piece of at most PIECE documents. Links with pivots give connected
     parts. A chunk holds documents of one nearest pivot and part; chunks of one part need no comparison,
     nor do those whose distances to some pivot lie further apart than a link can be. The rest is compared
     pair of chunks by pair of chunks. With ``every``, chunks of one part are compared too.
@@ -376,7 +438,7 @@ def _chunked(big: DataFrame, n: int, percent: int, limit: int, every: bool = Fal
         return pa.table([*columns, pa.array(cells, pa.int32()), pa.array(far, pa.list_(pa.float64())), pa.array(linked, pa.binary())], names=["region", "key", "text", "cell", "d", "pivot"])
 
     empty = pa.table({"region": pa.array([], pa.int64()), "key": pa.array([], pa.binary()), "text": pa.array([], pa.string()), "cell": pa.array([], pa.int32()), "d": pa.array([], pa.list_(pa.float64())), "pivot": pa.array([], pa.binary())})
-    measured = pieced.groupBy("region", "piece").cogroup(pivots.groupBy("region", "piece")).applyInArrow(measure, "region long, key binary, text string, cell int, d array<double>, pivot binary")
+    measured = pieced.select("region", "piece", "key", "text").groupBy("region", "piece").cogroup(pivots.groupBy("region", "piece")).applyInArrow(measure, "region long, key binary, text string, cell int, d array<double>, pivot binary")
     measured = cut(measured, "measured")
     stars = measured.where("pivot is not null and pivot != key").select(F.col("key").alias("a"), F.col("pivot").alias("b"))
     parts = components(stars)
@@ -396,10 +458,11 @@ def _chunked(big: DataFrame, n: int, percent: int, limit: int, every: bool = Fal
     connected = F.lit(False) if every else F.col("ga").isNotNull() & F.col("ga").eqNullSafe(F.col("gb"))
     open_ = left.join(right, "region").where((F.col("ca") <= F.col("cb")) & ~connected & ~apart).select(F.xxhash64("ca", "cb").alias("pair"), "ca", "cb")
     each = open_.select("pair", F.explode(F.array_distinct(F.array("ca", "cb"))).alias("chunk"))
-    return stars, placed.select("chunk", "key", "text", "root").join(each, "chunk").select("pair", "key", "text", "root", *(["chunk"] if every else []))
+    pairs = placed.select("region", "chunk", "key", "text", "root").join(each, "chunk").select("pair", "region", "key", "text", "root", "chunk")
+    return stars, pairs.join(big.select("region", "key", "hubs"), ["region", "key"]) if every else pairs.select("pair", "key", "text", "root")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, region_limit: int = 20_000, region_tokens: int = 6_000_000, links: bool = False) -> DataFrame:
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, region_limit: int = 1_000, region_tokens: int = 2_000_000, links: bool = False) -> DataFrame:
     """Documents linked by the Jaccard similarity of their sets of n-word shingles, and what they reach.
 
     Words are lower-cased (A-Z). A link is 100 * intersection >= percent * union. Returns id_col,
@@ -409,31 +472,28 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     grows with the square of a group of near copies. A document of fewer than n words has its whole sequence as its one shingle. Documents
     without words (null and empty texts too) have none and are linked with nothing, and so is a row
     with a null id (component_id null). Rows that share an id but not a text are nodes of their own.
-    A region of over ``region_limit`` sets or ``region_tokens`` shingles goes through ``_chunked``.
+    A cell of over ``region_limit`` sets or ``region_tokens`` shingles goes through ``_chunked``.
     """
     found = _groups(docs, id_col, text_col, n, percent, region_limit, region_tokens, links)
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     return found.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), *([F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links")] if links else []))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, region_limit: int = 20_000, region_tokens: int = 6_000_000, count: bool = False) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, region_limit: int = 1_000, region_tokens: int = 2_000_000, count: bool = False) -> DataFrame:
     """Per row: id, n_shingles, k1, k2 (its set), and component with component_id, null for rows linked with nothing by rule; with ``count``, n_links."""
     spark = docs.sparkSession
     counters = spark.sparkContext.broadcast(frequencies(docs, text_col, n))
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
     counters.unpersist()
     nodes = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("size").alias("size")), "sets")
-    seen = sized.where("id is not null").select("k1", "size", F.posexplode("prefix").alias("at", "sig"))
-    hubs = seen.where(F.col("at") < index_size(F.col("size"), percent)).groupBy("sig").agg(F.min("k1").alias("hub"))
-    stars = seen.select("k1", "sig").join(hubs, "sig").where("k1 != hub").select(F.col("k1").alias("a"), F.col("hub").alias("b")).distinct()
-    regions = components(stars).select(F.col("node").alias("k1"), F.col("component").alias("region"))
-    members = cut(nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(regions, "k1"), "members")
-    chosen = spark.sparkContext.broadcast(_filter(members))
-    extent = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t"))
-    of = cut(members.select("k1", "region").distinct().join(extent, "region").withColumn("big", (F.col("m") > region_limit) | (F.col("t") > region_tokens)), "regions")
-    small_table = of.count() <= FEW  # at most 20 MB; a larger table is joined by a shuffle
-    texts = _texts_of(docs, chosen, id_col, text_col, n).join(F.broadcast(of) if small_table else of, "k1")
-    has_big = not of.where("big").isEmpty()
+    members = cut(nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(cells_of(sized, percent), "k1"), "members")
+    chosen = spark.sparkContext.broadcast(_filter(members.select("h", "k1").distinct()))
+    extent = members.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t"))
+    extent = extent.where("m > 1").withColumn("big", (F.col("m") > region_limit) | (F.col("t") > region_tokens))
+    placed = members.select("k1", "hub").distinct().join(small(extent, "extent"), "hub")
+    of = small(placed.groupBy("k1").agg(F.collect_list(F.struct(F.col("hub").alias("region"), "m", "big")).alias("in_cells")), "cells")
+    texts = _texts_of(docs, chosen, id_col, text_col, n).join(of, "k1").select("key", "text", F.col("in_cells.region").alias("hubs"), F.inline("in_cells"))
+    has_big = not placed.where("big").isEmpty()
     edge = "a binary, b binary"
     if has_big:
         texts = cut(texts, "candidates")
@@ -441,23 +501,25 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, r
     if count:
         copies = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies")).select(key.alias("key"), "copies"), "copies")
         tally = "key binary, links long"
-        counted = texts.where("not big").select("region", "key", "text").join(copies, "key").groupBy("region").applyInArrow(lambda t: _counts(t, n, percent), tally)
+        counted = texts.where("not big").select("region", "key", "text", "hubs").join(copies, "key").groupBy("region").applyInArrow(lambda t: _counts(t, n, percent), tally)
     links = texts.where("not big").select("region", "key", "text").groupBy("region").applyInArrow(lambda t: _links(t, n, percent), edge)
     if has_big:
-        big = cut(texts.where("big").select("region", "m", "key", "text").dropDuplicates(["key"]), "big")
+        big = cut(texts.where("big").select("region", "m", "key", "text", "hubs").dropDuplicates(["region", "key"]), "big")
         pivot_links, pairs = _chunked(big, n, percent, region_limit, count)
-        links = links.union(pivot_links.select("a", "b")).union(pairs.groupBy("pair").applyInArrow(lambda t: _links(t, n, percent), edge))
+        links = links.union(pivot_links.select("a", "b")).union(pairs.select("pair", "key", "text", "root").groupBy("pair").applyInArrow(lambda t: _links(t, n, percent), edge))
         if count:
             counted = counted.union(pairs.join(copies, "key").groupBy("pair").applyInArrow(lambda t: _counts(t, n, percent), tally))
     parts = components(links)
-    named = nodes.withColumn("node", key).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    known = named.select("k1", "k2", "component").join(least, "component").select("k1", "k2", "component", "component_id")
+    linked = nodes.select(key.alias("node"), "least").join(parts, "node")
+    least = small(linked.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+    linked = linked.join(least, "component").select(F.col("node").alias("key"), "component", "component_id")
+    known = nodes.select("k1", "k2", "least", key.alias("key")).join(linked, "key", "left")
+    known = known.select("k1", "k2", "key", F.coalesce("component", "key").alias("component"), F.coalesce("component_id", "least").alias("component_id"))
     if count:
         sums = counted.groupBy("key").agg(F.sum("links").alias("links"))
         each = copies.join(sums, "key", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-        known = known.withColumn("key", key).join(each, "key").drop("key")
-    return sized.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(known, ["k1", "k2"], "left")
+        known = known.join(each, "key")
+    return sized.select("id", F.col("size").alias("n_shingles"), "k1", "k2").join(known.drop("key"), ["k1", "k2"], "left")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -472,12 +534,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = rows.join(chosen, ["id", "k1", "k2"], "left")
     counted = marked.groupBy("id").agg(F.count(F.lit(1)).alias("rows"), F.count("c").alias("staying"))
     touched = cut(counted.where("rows > 1 or staying = 0").select("id"), "touched")
-    staying = chosen.select(F.col("id").alias("_id"), F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     place = lambda c: F.xxhash64(c).bitwiseAND(F.lit(FILTER_BITS - 1))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(touched.select(place(F.col("id")).alias("at")), FILTER_BITS))
 
     at = docs.columns.index(text_col)
-    names = [*docs.columns, "_set1", "_set2", "_words"]
+    set1, set2, words, mark, o_id, o1, o2 = free_names(docs.columns, "set1", "set2", "words", "place", "other", "other1", "other2")
+    names = [*docs.columns, set1, set2, words]
 
     def flagged(batch) -> np.ndarray:
         """Which rows may go; the last column has their places."""
@@ -498,12 +560,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     docs_columns = list(range(len(docs.columns)))
     # rows without an id never go: their place is that of no row
-    placed = docs.select("*", F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(place(F.col(id_col))).alias("_place"))
-    known = placed.where("_place >= 0")
-    sure = known.mapInArrow(stay, docs.schema).union(placed.where("_place < 0").select(*docs.columns))
+    placed = docs.select("*", F.when(F.col(id_col).isNull(), F.lit(-1).cast("long")).otherwise(place(F.col(id_col))).alias(mark))
+    known = placed.where(F.col(mark) >= 0)
+    sure = known.mapInArrow(stay, docs.schema).union(placed.where(F.col(mark) < 0).select(*docs.columns))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in names[-3:])])
     rest = known.mapInArrow(digest, schema)
-    same = (F.col(id_col) == F.col("_id")) & (F.col("_set1") == F.col("_k1")) & (F.col("_set2") == F.col("_k2"))
-    empty = rest.where("_words = 0").select(*docs.columns)
-    judged = rest.where("_words > 0").join(staying, same, "left_semi").dropDuplicates([id_col, "_set1", "_set2"]).select(*docs.columns)
+    staying = chosen.select(F.col("id").alias(o_id), F.col("k1").alias(o1), F.col("k2").alias(o2))
+    same = (F.col(id_col) == F.col(o_id)) & (F.col(set1) == F.col(o1)) & (F.col(set2) == F.col(o2))
+    empty = rest.where(F.col(words) == 0).select(*docs.columns)
+    judged = rest.where(F.col(words) > 0).join(staying, same, "left_semi").dropDuplicates([id_col, set1, set2]).select(*docs.columns)
     return sure.union(empty).union(judged)

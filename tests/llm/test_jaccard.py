@@ -102,8 +102,8 @@ def test_region_join(seed):
             some = base[rng.random(len(base)) > rng.uniform(0, 0.15)]
             sets.append(np.unique(np.concatenate([some, rng.choice(4000, rng.integers(0, 8))])).astype(np.uint64))
     join = jaccard.RegionJoin(sets, 85)
-    join.LEAF = 4
     root = join.run()
+    assert join.opened > 12  # Voronoi cells within the space
     want = list(range(len(sets)))
     plain = [set(s.tolist()) for s in sets]
     for i in range(len(sets)):
@@ -114,6 +114,35 @@ def test_region_join(seed):
     assert root.tolist() == want
 
 
+def test_cells_of_pivots_are_in_use(spark):
+    """Nodes go to the cells of pivots, boundary ones to several, and groups of a few documents are joined by Voronoi cells."""
+    made = families(3)
+    frame = docs(spark, made)
+    counters = spark.sparkContext.broadcast(jaccard.frequencies(frame, "text", 4))
+    dealt = jaccard.cells_of(jaccard.signatures(frame, counters, "doc_id", "text", 4, 85), 85).collect()
+    cells = {h: {r.k1 for r in dealt if r.hub == h} for h in {r.hub for r in dealt}}
+    assert len(cells) > 5 and all(h in nodes and len(nodes) > 1 for h, nodes in cells.items())
+    assert any(sum(k in nodes for nodes in cells.values()) > 1 for k in {r.k1 for r in dealt})
+    sets = [np.unique(np.array([hash(x) & (1 << 63) - 1 for x in shingles(r[1], 4)], dtype=np.uint64)) for r in made]
+    join = jaccard.RegionJoin(sets, 85)
+    join.run()
+    assert join.opened > 2
+
+
+def test_counters_tell_large_counts_apart():
+    n = np.array([0, 1, 2, 31, 32, 100, 255, 300, 1000, 10**6, 2**31])
+    codes = jaccard._encoded(n).astype(int)
+    assert (np.diff(codes) > 0).all() and (jaccard._encoded(np.arange(2, 10**5)) > 1).all()
+
+
+def test_one_of_each_takes_clashing_names(spark):
+    made = families(4, 5)
+    odd = docs(spark, made).withColumnsRenamed({"size": "place", "n_words": "_id", "source": "set1", "lang": "other"}).selectExpr("*", "1 as _place", "2 as _set1", "3 as words")
+    got = jaccard.one_of_each(odd, n=4, percent=85)
+    assert got.columns == odd.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted({i for i, _, c in brute(made, 4, 85) if i == c})
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
