@@ -48,6 +48,12 @@ def test_near_duplicates(spark, seed, block, pivots):
     assert got == brute(rows, 0.95)
 
 
+def test_tiny_and_huge_components(spark):
+    rows = [(1, [1e-200, 2e-200]), (2, [3e-200, 6e-200]), (3, [1e250, 2e250]), (4, [2e-200, -1e-200])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True)}
+
+
 def test_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert rabitq.near_duplicates(table).count() == 0
