@@ -92,7 +92,7 @@ ORACLE_SQL: dict[str, str] = {
         select w.doc_id, coalesce(any_value(c.k), 0)::bigint as n_shingles, min(o.doc_id) as component_id
         from w left join c on c.n = w.n join reach r on r.n = w.n join w o on o.n = r.m group by w.n, w.doc_id""",
     "op5_mixing": r"""
-        with sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+        with recursive sized as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
         sums as (select source, sum(size)::bigint as source_size from sized group by source),
         weighted as (select *, 2.0::double * source_size as cap,
                             [5.0::double, 2.0::double, 1.0::double][((row_number() over (order by source asc nulls last) - 1) % 3 + 1)::int] as w from sums),
@@ -101,10 +101,22 @@ ORACLE_SQL: dict[str, str] = {
                   from weighted window ranked as (order by cap / w asc, source asc nulls last)),
         firsts as (select *, first_value(case when not cap <= w * l then l end ignore nulls) over (order by cap / w asc, source asc nulls last rows between unbounded preceding and current row) as f from level),
         goal as (select source, source_size, coalesce(w * f, cap) as target from firsts),
-        rated as (select s.doc_id, s.source, s.size, g.source_size, g.target, case when g.source_size > 0 then g.target / g.source_size else 0.0::double end as rate
-                  from sized s join goal g on s.source is not distinct from g.source),
-        drawn as (select *, ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::varchar, 'null'), coalesce(source, 'null'), size::varchar)), 1, 13))::bigint::double / 4503599627370496.0::double as u from rated)
-        select doc_id, size, source_size, target, (size * (floor(rate)::bigint + (u < rate - floor(rate))::bigint))::bigint as taken from drawn""",
+        rated as (select source, source_size, target, case when source_size > 0 then target / source_size else 0.0::double end as rate from goal),
+        parts as (select *, floor(rate)::bigint as whole, rate - floor(rate) as part from rated),
+        hashed as (select *, ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(doc_id::varchar, 'null'), coalesce(source, 'null'), size::varchar)), 1, 13))::bigint::double / 4503599627370496.0::double as u,
+                          (length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 6, 0)))::int as g from sized),
+        strata as (select source, g, count(*)::bigint as n, sum(size)::bigint as s, row_number() over (partition by source order by g desc) as k,
+                          ('0x' || substr(md5(concat_ws(':', 'mix', coalesce(source, 'null'), g::varchar)), 1, 13))::bigint::double / 4503599627370496.0::double as r from hashed group by source, g),
+        due(source, k, g, share, rem, many) as (
+            select source, 0::bigint, -1, part, source_size, 0::bigint from parts
+            union all
+            select source, k, g, case when part > 0 and rem > 0 then least(greatest(share - least(1.0::double, share * rem / ((1 - part) * mean), (1 - share) * rem / (part * mean)) * ((many - due) * mean / rem), 0.0::double), 1.0::double) else share end, rem, many
+            from (select *, floor(due)::bigint + (r < part)::bigint as many from (select *, due - floor(due) as part
+                  from (select t.source, t.k, t.g, t.r, d.share, d.rem - t.s as rem, t.s::double / t.n::double as mean, d.share * t.n as due from due d join strata t on t.source is not distinct from d.source and t.k = d.k + 1)))),
+        ranked as (select *, row_number() over (partition by source, g order by u) as rn from hashed),
+        lasts as (select r.source, r.g, r.u from ranked r join due d on d.source is not distinct from r.source and d.g = r.g and d.many = r.rn)
+        select h.doc_id, h.size, p.source_size, p.target, (h.size * (p.whole + coalesce((h.u <= l.u)::bigint, 0)))::bigint as taken
+        from hashed h join parts p on p.source is not distinct from h.source left join lasts l on l.source is not distinct from h.source and l.g = h.g""",
     "op9_embeddings": r"""
         with recursive v as (select row_number() over () as n, vec_id, embedding::double[] as e from embeddings),
         ok as (select n, e, list_dot_product(e, e) as q from v where e is not null and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),

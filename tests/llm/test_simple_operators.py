@@ -2,8 +2,11 @@
 
 import hashlib
 import itertools
+import math
 import os
+import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -139,6 +142,40 @@ def test_ordinary_words_are_cheap():
     assert scanner.redact("auth: Bearer zK9vpQ2x7LmR4t and SECRET_KEY = 'q7Zp2LwX9vRt4K'") == "auth: Bearer [secret] and SECRET_KEY = '[secret]'"
 
 
+def test_guess_cost_is_the_least_of_all_segmentations():
+    """Every way to cut a short value, each part by every reading of it."""
+    cost = secrets.GuessCost(("pass", "sos", "cat", "1qaz", "ssw", "dad"))
+    rng = random.Random(3)
+
+    def readings(value, i, j, pool):
+        part, low, double = value[i:j], value[i:j].lower(), math.log10(2)
+        yield (j - i) * math.log10(max(pool, 10))
+        if low in cost.rank and j - i > 2:
+            yield math.log10(cost.rank[low] + 1) + double * (part != low) + double
+        elif low.translate(secrets._LEET) in cost.rank and j - i > 2:
+            yield math.log10(cost.rank[low.translate(secrets._LEET)] + 1) + 3 * double
+        if any(d.fullmatch(low) for d in secrets.DATES):
+            yield math.log10(366 * 200 if j - i > 4 else 200) + double
+        if j - i >= 3 and len(set(part)) == 1:
+            yield math.log10(pool * (j - i)) + double
+        if j - i >= 4 and all(low[k : k + 2] in secrets._NEXT for k in range(j - i - 1)):
+            yield math.log10(4 * 47 * (j - i)) + double
+
+    def brute(value):
+        pool = 26 * any(c.islower() for c in value) + 26 * any(c.isupper() for c in value) + 10 * any(c.isdigit() for c in value) + 33 * any(not c.isalnum() for c in value)
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + c for i in range(j) for c in readings(value, i, j, pool)))
+        return best[-1]
+
+    pieces = ["pass", "PaSs", "p4ss", "sssss", "2024-01-15", "20240115", "1999", "qwert", "asdf", "rewq", "zz9", "x", "sos", "!!!!", "aB", "12345", "dad", "daddad", "7"]
+    for value in ["passsss", "asdfffff", "2024011520", *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 4))) for _ in range(400))]:
+        assert cost(value) == pytest.approx(brute(value)), value
+    began = time.perf_counter()
+    cost("a" * 20_000 + "pass" * 500)
+    assert time.perf_counter() - began < 20
+
+
 # 5 ---------------------------------------------------------------------------------------------
 
 
@@ -186,6 +223,46 @@ def test_mix_comes_near_its_targets(spark):
         assert taken[f"s{k}"] == pytest.approx(taken[f"s{k}", "goal"], rel=0.05)
 
 
+@pytest.mark.parametrize("ranked", [1000, 3])
+def test_draws_are_tied_within_a_source(spark, monkeypatch, ranked):
+    """Fifty documents a source, of very different sizes: most sources come within a hundredth of their target, all within their largest document."""
+    monkeypatch.setattr(mixing, "RANKED", ranked)
+    rng = random.Random(5)
+    many = [(k, "w " * max(1, int(rng.lognormvariate(4.5, 1))), None, f"s{k % 9}" if k % 9 else None, 0, None, None) for k in range(450)]
+    taken, goal, largest = Counter(), {}, Counter()
+    for r in mixing.plan(docs(spark, many)).collect():
+        taken[r.source] += r["size"] * r.copies
+        goal[r.source] = r.target
+        largest[r.source] = max(largest[r.source], r["size"])
+        assert r.copies <= 2
+    assert len(goal) == 9
+    assert all(abs(taken[s] - t) <= largest[s] for s, t in goal.items())
+    assert sum(abs(taken[s] - t) <= 0.01 * t for s, t in goal.items()) >= 7
+
+
+def test_each_document_keeps_its_probability(spark):
+    """Over many sources of the same sizes, a document of each size goes in as often as the rate says, the largest one too."""
+    sizes = (400, 300, 50, 40, 30, 30, 9, 9, 8, 8, 7, 5, 3, 2, 1, 1)
+    many = [(100 * s + k, "w " * n, None, f"s{s:03}", 0, None, None) for s in range(400) for k, n in enumerate(sizes)]
+    for weights in ((1.0,), (7.0, 1.0)):
+        rows_ = mixing.plan(docs(spark, many), weights=weights, total=1.3).collect()
+        times, rate = Counter(), {}
+        for r in rows_:
+            times[r.doc_id % 100, round(r.target / r.source_size, 6)] += r.copies
+            rate[round(r.target / r.source_size, 6)] = rate.get(round(r.target / r.source_size, 6), 0) + 1 / len(sizes)
+        for (_, share), n in times.items():
+            assert n / rate[share] == pytest.approx(share, abs=0.1)
+
+
+def test_mixing_takes_clashing_names(spark):
+    odd = docs(spark).selectExpr("*", "1 as _mix_rate", "2 as mix_g", "3 as mix_source", "4 as _s", "5 as u")
+    mixed = mixing.mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() == mixing.mix(docs(spark)).count()
+    named = docs(spark).drop("size").withColumnRenamed("doc_id", "size")
+    assert mixing.plan(named, id_col="size").columns == ["size", "source", "size_", "source_size", "target", "copies"]
+    assert mixing.plan(named, id_col="size").count() == len(rows())
+
+
 # 6 ---------------------------------------------------------------------------------------------
 
 
@@ -300,6 +377,18 @@ def test_url_digest_collisions(tmp_path, monkeypatch):
     assert index.judge(["abc.org"], ["/en/"]) == [None]
 
 
+def test_a_million_rules(tmp_path):
+    rules = [("block" if k % 3 else "allow", f"h{k % 400_000}.example.org", ("/", "/a/", "/a/b/c")[k % 3]) for k in range(1_000_000)]
+    path = str(tmp_path / "i")
+    urlrules.write_index(rules, path)
+    index = urlrules.RuleIndex(path)
+    assert index.path_sizes == [1, 3, 6]
+    known = {(h, p): v for v, h, p in rules}
+    hosts, paths = [f"www.h{k}.example.org" for k in (0, 7, 399_999, 400_001)], ["/a/b/c/d"] * 4
+    fits = [max(((len(p), p) for p in ("/", "/a/", "/a/b/c") if (h[4:], p) in known), default=None) for h in hosts]
+    assert index.judge(hosts, paths) == [f and (h[4:] + f[1], known[h[4:], f[1]] == "block") for h, f in zip(hosts, fits, strict=True)]
+
+
 # 10 --------------------------------------------------------------------------------------------
 
 
