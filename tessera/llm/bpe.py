@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import tidy
+
 SHORT = 128
 CACHE = 300_000
 _NONE = np.int32(2**31 - 1)
@@ -277,6 +279,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     more = ", token_ids binary" if ids else ""
     schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}"
 
+    @tidy
     def run(batches):
         bpe = encoder(tokenizer)
         for batch in batches:
@@ -304,6 +307,7 @@ def text_groups_of(column: pa.Array) -> Iterator[list[str]]:
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "token_ids") -> DataFrame:
     """The text of each row's token_ids; null ids give a null text."""
 
+    @tidy
     def run(batches):
         bpe = encoder(tokenizer)
         for batch in batches:

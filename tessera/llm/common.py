@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import threading
@@ -95,6 +96,25 @@ def transient(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]
         remove(spark, [p for p in tables if p not in kept and p in _written])
 
 
+def give_back() -> None:
+    """Return this process's free memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives the memory back at its end: Python workers live on, and the next stage shares their machine."""
+
+    def around(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return around
+
+
 #: Rows of a table that is broadcast, about 25 MB; a larger one is joined by a shuffle.
 FEW = 500_000
 

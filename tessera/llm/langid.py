@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
 from tessera.llm.textkit import SLICE_BYTES, slices, text_buffers
 
 CODES = 1 << 16
@@ -49,6 +50,7 @@ def trigram_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 def counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """lang, code, n: the n-grams of each language over all rows; rows with a null text or language are left out."""
 
+    @tidy
     def run(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -180,6 +182,7 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
     kind = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidy
     def run(batches):
         for batch in batches:
             pred, score, sets, _ = _judged(shared.value, batch.column(1))
@@ -196,6 +199,7 @@ def keep(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
 
+    @tidy
     def run(batches):
         for batch in batches:
             pred, _, _, whole = _judged(shared.value, batch.column(place))

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
 from tessera.llm.textkit import Words, mix, ngram_hashes, prefix_hashes, slices, span_hash, text_buffers
 
 SYMBOLS = b"#*$%&|<>"
@@ -186,6 +187,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str =
     first = F.min_by("_t", F.struct(F.md5("_t"), "_t"))  # one text an id, whatever the order of the rows
     rows = rows.groupBy("_id", "_y").agg(first.alias("_t"))
 
+    @tidy
     def run(batches):
         for batch in batches:
             ys = batch.column(2).to_numpy(zero_copy_only=False)
@@ -221,6 +223,7 @@ def judge(docs: DataFrame, model: LineCrf, id_col: str = "doc_id", text_col: str
     symbol = np.zeros(256, dtype=bool)
     symbol[list(SYMBOLS)] = True
 
+    @tidy
     def run(batches):
         for batch in batches:
             for i, j, words, lines in _slices(batch.column(1)):

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import tidy
+
 KINDS = ("assign", "access", "hex", "guess")
 #: Fixed patterns.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -186,6 +188,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string"
 
+    @tidy
     def run(batches):
         scanner = Scanner(words, threshold)
         for batch in batches:

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from cases import docs, rows
 
-from tessera.llm import bpe, langid, mixing, quality, queries, secrets, sharding, urlrules
+from tessera.llm import bpe, common, langid, mixing, quality, queries, secrets, sharding, urlrules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -23,6 +23,27 @@ def key(row):
     return tuple((x is None, str(x)) for x in row)
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getConf = staticmethod(lambda: type("Conf", (), {"get": staticmethod(lambda name: None)}))
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(Cluster())
+    assert common.shared_dir(spark)
+
+
+def test_passing_tables_go(spark):
+    with common.transient(spark) as keep:
+        first = common.cut(spark.range(3), "first")
+        second = keep(common.cut(first.selectExpr("id + 1 as id"), "second"))
+    assert not os.path.exists(first._cut_at.removeprefix("file://")) and second.count() == 3
+    common.remove(spark, [second._cut_at])
+
+
 # 1 ---------------------------------------------------------------------------------------------
 
 
