@@ -18,6 +18,7 @@ shingle that the pivot has, and a document at the boundary of several pivots goe
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bit_filter, cut, free_names, has_bit, small
+from tessera.llm.common import bit_filter, cut, free_names, has_bit, small, tidy
 from tessera.llm.graph import components
 from tessera.llm.textkit import Words, mix, ngram_hashes, slices, text_buffers
 
@@ -86,6 +87,7 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
     corpus. A task counts to 255; the sums of tasks have no bound, so counters never fill up.
     """
 
+    @tidy
     def count(batches):
         total = np.zeros(COUNTERS, dtype=np.uint8)
         for batch in batches:
@@ -97,6 +99,7 @@ def frequencies(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
             if total[k : k + CHUNK].any():
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(total[k : k + CHUNK], 1)], pa.binary())], names=["k", "n"])
 
+    @tidy
     def add(batches):
         have: dict[int, np.ndarray] = {}
         for batch in batches:
@@ -131,13 +134,13 @@ def index_size(n: Column, percent: int) -> Column:
 
 
 def signatures(docs: DataFrame, counters, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
-    """id, size, k1, k2 (digest of the set) and the prefix of each document, less what only it has in the corpus.
+    """id, size, k1, k2 (digest of the set) and the prefix of each document.
 
-    A set that the task has had, and a row without an id, come without a prefix. ``wide`` is the number of
-    shingles that the prefix had before; ``at`` has the places of those left.
+    A set that the task has had, and a row without an id, come without a prefix.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
+    @tidy
     def run(batches):
         table = counters.value
         seen: set[tuple[int, int]] = set()
@@ -154,22 +157,30 @@ def signatures(docs: DataFrame, counters, id_col: str, text_col: str, n: int, pe
                         seen.add(pair)
                 if len(seen) > 500_000:
                     seen.clear()
-                rank = table[_counter(sets.values)]
-                order = np.lexsort((sets.values, rank, sets.row))
+                order = np.lexsort((sets.values, table[_counter(sets.values)], sets.row))
                 take = np.where(fresh & (sets.size * (100 - percent) >= percent), prefix_size(sets.size, percent), 0)  # smaller sets have only equal partners
                 place = np.arange(len(sets.values)) - sets.start[sets.row]
-                use = (place < take[sets.row]) & (rank[order] > 1)
-                some = sets.values[order][use].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(np.bincount(sets.row[use], minlength=j - i))]).astype(np.int32)
+                some = sets.values[order][place < take[sets.row]].view(np.int64)
+                ends = np.concatenate([[0], np.cumsum(take)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2),
-                        pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(place[use].astype(np.int32)), pa.array(some)], names=["at", "sig"])),
-                    ],
+                    [batch.column(0).slice(i, j - i), pa.array(sets.size.astype(np.int64)), pa.array(k1), pa.array(k2), pa.ListArray.from_arrays(pa.array(ends), pa.array(some))],
                     names=["id", "size", "k1", "k2", "prefix"],
-                )
+                )
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, prefix array<struct<at:int,sig:long>>")
+    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, size long, k1 long, k2 long, prefix array<long>")
+
+
+def with_partners(members: DataFrame, percent: int) -> DataFrame:
+    """members (k1, size, hub, ...) less those that no other of their cell is near enough in size to be linked with.
+
+    Sizes of two linked sets differ by a factor of 100 / percent at most, so they lie in one step of a
+    scale with that factor or in neighbouring ones; counts of the steps of each cell say who is alone.
+    """
+    step = F.floor(F.log(F.col("size")) / (math.log(100 / percent) * (1 + 1e-9)))
+    placed = members.withColumn("step", step)
+    counts = placed.groupBy("hub", "step").agg(F.count(F.lit(1)).alias("n"))
+    near = counts.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).groupBy("hub", "step").agg(F.sum("n").alias("n")).where("n > 1")
+    return placed.join(near.select("hub", "step"), ["hub", "step"], "left_semi").select(*members.columns)
 
 
 def cells_of(sized: DataFrame, percent: int) -> DataFrame:
@@ -178,7 +189,7 @@ def cells_of(sized: DataFrame, percent: int) -> DataFrame:
     The pivot of a shingle is the least node that has it in its index prefix. If all nodes of a cell have
     one least cell, that one contains it, and it is left out.
     """
-    seen = sized.select("k1", "size", F.inline("prefix"))
+    seen = sized.select("k1", "size", F.posexplode("prefix").alias("at", "sig"))
     hubs = seen.where(F.col("at") < index_size(F.col("size"), percent)).groupBy("sig").agg(F.min("k1").alias("hub"))
     stars = cut(seen.select("k1", "sig").join(hubs, "sig").where("k1 != hub").select("k1", "hub").distinct(), "stars")
     every = stars.union(stars.select(F.col("hub").alias("k1"), "hub").distinct())
@@ -361,6 +372,7 @@ def _texts_of(docs: DataFrame, chosen, id_col: str, text_col: str, n: int) -> Da
     Texts and not sets go on: packed, they are a third of their shingles' hashes.
     """
 
+    @tidy
     def run(batches):
         bits = chosen.value
         for batch in batches:
@@ -392,6 +404,7 @@ def _place_of(h: np.ndarray, k1: np.ndarray | None = None) -> np.ndarray:
 def _filter(members: DataFrame) -> np.ndarray:
     """FILTER_BITS bits with those of all members (h, k1) set, and those of h alone; a fixed 8 MB."""
 
+    @tidy
     def run(batches):
         for batch in batches:
             h, k1 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -486,7 +499,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, n: int, percent: int, r
     sized = cut(signatures(docs, counters, id_col, text_col, n, percent), "signatures")
     counters.unpersist()
     nodes = cut(sized.where("size > 0 and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("size").alias("size")), "sets")
-    members = cut(nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(cells_of(sized, percent), "k1"), "members")
+    members = nodes.select(F.xxhash64("least").alias("h"), "k1", "size").join(cells_of(sized, percent), "k1")
+    members = cut(with_partners(members, percent) if percent < 100 else members, "members")
     chosen = spark.sparkContext.broadcast(_filter(members.select("h", "k1").distinct()))
     extent = members.groupBy("hub").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("t"))
     extent = extent.where("m > 1").withColumn("big", (F.col("m") > region_limit) | (F.col("t") > region_tokens))
@@ -545,10 +559,12 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         """Which rows may go; the last column has their places."""
         return has_bit(bits.value, batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False))
 
+    @tidy
     def stay(batches):
         for batch in batches:
             yield batch.filter(pa.array(~flagged(batch))).select(docs_columns)
 
+    @tidy
     def digest(batches):
         for batch in batches:
             batch = batch.filter(pa.array(flagged(batch)))

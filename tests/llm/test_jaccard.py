@@ -1,5 +1,6 @@
 """The n-gram Jaccard join and connected components against brute force."""
 
+import os
 import random
 import re
 
@@ -10,6 +11,7 @@ from cases import docs, rows
 from tessera.llm import jaccard
 from tessera.llm.graph import components
 
+SF = "/root/testdata/sf0.1"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -129,6 +131,27 @@ def test_cells_of_pivots_are_in_use(spark):
     assert join.opened > 2
 
 
+def test_cells_are_in_use_on_real_tables(spark):
+    """At sf0.1 documents meet in cells of pivots, and the larger cells open Voronoi cells within."""
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    frame = spark.read.parquet(f"{SF}/documents.parquet")
+    counters = spark.sparkContext.broadcast(jaccard.frequencies(frame, "text", 4))
+    sized = jaccard.signatures(frame, counters, "doc_id", "text", 4, 85).cache()
+    dealt = jaccard.cells_of(sized, 85).cache()
+    sizes = {r.hub: r["count"] for r in dealt.groupBy("hub").count().collect()}
+    large = [h for h, n in sizes.items() if n >= 5]
+    assert len(sizes) > 50 and large
+    ids = sized.join(dealt.where(dealt.hub.isin(large[:5])), "k1").select("hub", "id").distinct()
+    opened = 0
+    for h in large[:5]:
+        texts = frame.join(ids.where(ids.hub == h), frame.doc_id == ids.id).select("text").toArrow().column("text")
+        join = jaccard.RegionJoin(jaccard.sets_of(texts, 4), 85)
+        join.run()
+        opened += join.opened
+    assert opened > 0
+
+
 def test_counters_tell_large_counts_apart():
     n = np.array([0, 1, 2, 31, 32, 100, 255, 300, 1000, 10**6, 2**31])
     codes = jaccard._encoded(n).astype(int)
@@ -143,10 +166,11 @@ def test_one_of_each_takes_clashing_names(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted({i for i, _, c in brute(made, 4, 85) if i == c})
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_components(spark, few):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 130)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     root = {}
     for _ in range(300):
         for a, b in edges:
@@ -154,4 +178,6 @@ def test_components(spark):
                 m = min(root.get(a, a), root.get(b, b))
                 root[a] = root[b] = m
     assert got == root
+    named = spark.createDataFrame([(str(a).encode(), str(b).encode()) for a, b in edges[:80]], "a binary, b binary")
+    assert sorted(map(tuple, components(named, few=few).collect())) == sorted(map(tuple, components(named, few=500_000 - few).collect()))
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
