@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bit_filter, cut, has_bit, small
+from tessera.llm.common import bit_filter, cut, has_bit, small, tidy
 from tessera.llm.textkit import mix, powers, prefix_hashes, slices, span_hash, text_buffers
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -35,6 +35,8 @@ HOT_BITS = 1 << 24
 #: Places of one anchor that go to one task as they are; an anchor at more is split by longer grams before.
 HOT = 1_000
 PIECE = 4_000
+#: Ranges of distances into which a group that is too large is split.
+PARTS = 2
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -275,6 +277,7 @@ def _runs(batches, length: int, k: int):
 def _shared(texts: DataFrame, length: int, k: int) -> DataFrame:
     """gram, n: the anchors at two places or more; copies of a text are one place."""
 
+    @tidy
     def run(batches):
         for _, _, _, _, _, _, _, gram, where in _runs(batches, length, k):
             yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(where.view(np.int64))], names=["gram", "at"])
@@ -286,6 +289,7 @@ def _shared(texts: DataFrame, length: int, k: int) -> DataFrame:
 def _contexts(texts: DataFrame, chosen, hot, length: int, k: int, of_hot: bool) -> DataFrame:
     """What stands round each anchor that the filter ``chosen`` has, of those that ``hot`` has or of the others."""
 
+    @tidy
     def run(batches):
         for key, part, at, row, low, high, anchor, gram, _ in _runs(batches, length, k):
             use = has_bit(chosen.value, (gram & np.uint64(ANCHOR_BITS - 1)).astype(np.int64))
@@ -323,6 +327,7 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         rows = [(key[r], low[r] + a, low[r] + b) for r, spans in zip(order.tolist(), found, strict=True) for a, b in spans]
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.binary()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.int64())], names=["key", "first", "last"])
 
+    @tidy
     def run(batches):
         held: list[pa.Table] = []
         rows = 0
@@ -349,9 +354,9 @@ def _hot_repeats(contexts: DataFrame, length: int, k: int, limit: int) -> DataFr
     """key, first, last as ``_repeats``, for anchors at too many places for one task.
 
     Equal contexts of a group are one row, whose strings all repeat if it stands for two or more. A group
-    that still has over ``limit`` rows is split: strings whose distance from the anchor lies in one half
-    of the range share all bytes that the half's strings have in common, so a group is made for each half
-    and those bytes, and each context goes on with the part that the half's strings cover. With one
+    that still has over ``limit`` rows is split: the distances of strings from the anchor are cut into PARTS
+    ranges, and equal strings of a range share the bytes that all strings of it cover; so a group is made
+    for each range and those bytes, and each context goes on with what the range's strings cover. With one
     distance left, rows are strings, and equal ones are one row. Groups of ``limit`` rows and fewer are
     sorted. What is found goes back by the digest of a row to those that it stands for.
     """
@@ -370,9 +375,10 @@ def _hot_repeats(contexts: DataFrame, length: int, k: int, limit: int) -> DataFr
         found.append(cut(whole.union(_repeats(sorted_, length).select(F.col("key").alias("cid"), "first", "last")), "found"))
         if sizes.where("large").isEmpty():
             break
-        half = F.explode(F.array(F.struct(F.col("a"), F.expr("a + (b - a) div 2").cast("int").alias("b")), F.struct(F.expr("a + (b - a) div 2 + 1").cast("int").alias("a"), F.col("b"))))
-        cut_up = sized.where("large").select("grp", "before", "context", "n", F.col("cid").alias("up"), half.alias("h"))
-        # distances of the row's strings that lie in the half
+        step = f"cast((b - a + {PARTS}) div {PARTS} as int)"
+        part = F.explode(F.expr(f"transform(sequence(a, b, {step}), x -> struct(x as a, least(x + {step} - 1, b) as b))"))
+        cut_up = sized.where("large").select("grp", "before", "context", "n", F.col("cid").alias("up"), part.alias("h"))
+        # distances of the row's strings that lie in the part
         cut_up = cut_up.withColumn("low", F.greatest("h.a", F.col("before") - (F.octet_length("context") - length))).withColumn("high", F.least("h.b", "before")).where("low <= high")
         cut_up = cut_up.select(
             F.xxhash64("grp", "h.a", "h.b", F.expr(f"substring(context, before - h.a + 1, {length} - h.b + h.a)")).alias("grp"),
@@ -384,7 +390,7 @@ def _hot_repeats(contexts: DataFrame, length: int, k: int, limit: int) -> DataFr
             "n",
             "up",
         )
-        rows = cut(cut_up.withColumn("cid", digest), "halves")
+        rows = cut(cut_up.withColumn("cid", digest), "parts")
         ups.append(rows.select("cid", "up", "shift"))
     out = found.pop()
     while found:
@@ -431,16 +437,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     ranges = ranges.join(copied, "key", "left_anti").groupBy("key").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     ranges = cut(ranges, "ranges")
 
+    @tidy
     def places(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array((_place(batch.column(0))[:, 0] & np.uint64(TEXT_BITS - 1)).astype(np.int64))], names=["at"])
 
     touched = spark.sparkContext.broadcast(bit_filter(ranges.select("key").mapInArrow(places, "at long"), TEXT_BITS))
 
+    @tidy
     def only(batches):
         for batch in batches:
             yield batch.filter(pa.array(has_bit(touched.value, (_place(batch.column(0))[:, 0] & np.uint64(TEXT_BITS - 1)).astype(np.int64))))
 
+    @tidy
     def remove(batches):
         for batch in batches:
             rows = []
