@@ -10,16 +10,26 @@ def sigma_clipped_median(df: DataFrame, keys: list[str], value: str, sigma: floa
     """The upper median, per key, of the values within ``sigma`` population deviations of the mean.
 
     Stacks of at most ``least`` values are not clipped, and all values stay if none lies within. Null
-    values are left out. Statistics and values come from a single aggregation, and the clip runs on the
-    gathered array; a stack is the samples of one cell.
+    values are left out. A stack is the samples of one cell. The limits belong to the inside and do not
+    depend on the order of rows: |v - mean| <= sigma * deviation is compared as (n d - sum d)^2 <=
+    sigma^2 (n sum d^2 - (sum d)^2), where d is the distance from the middle value and sums run over the
+    sorted stack: exact for whole numbers while these products stay below 2^53.
     """
-    stacked = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
-        F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"), F.array_sort(F.collect_list(value)).alias("_v")
-    )
-    low, high = F.col("_m") - sigma * F.col("_s"), F.col("_m") + sigma * F.col("_s")
-    inside = F.filter("_v", lambda v: (v >= low) & (v <= high))
-    kept = F.when((F.size("_v") <= least) | (F.size(inside) == 0), F.col("_v")).otherwise(inside)
-    return stacked.withColumn("_k", kept).select(*keys, F.element_at("_k", (F.size("_k") / 2).cast("int") + 1).alias("median"))
+    stacked = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("_v"))
+    n = F.size("_v").cast("double")
+
+    def off(v):
+        return v.cast("double") - F.element_at("_v", (F.size("_v") / 2).cast("int") + 1).cast("double")
+
+    def add(t, v):
+        return F.struct((t["s"] + off(v)).alias("s"), (t["q"] + off(v) * off(v)).alias("q"))
+
+    def inside(t):  # the sums are made once for a stack, as this is the end of their aggregate
+        return F.filter("_v", lambda v: F.pow(n * off(v) - t["s"], 2) <= sigma * sigma * (n * t["q"] - t["s"] * t["s"]))
+
+    clipped = stacked.withColumn("_i", F.aggregate("_v", F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), add, inside))
+    kept = F.when((F.size("_v") <= least) | (F.size("_i") == 0), F.col("_v")).otherwise(F.col("_i"))
+    return clipped.withColumn("_k", kept).select(*keys, F.element_at("_k", (F.size("_k") / 2).cast("int") + 1).alias("median"))
 
 
 def robust_mean(df: DataFrame, keys: list[str], order: list[str], value: str, sigma: float) -> DataFrame:
