@@ -20,8 +20,10 @@ from tessera.llm.queries import BYTE_BPE
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose languages, one or several, together have half of their words or more; the rest go.
 
-    A null or empty text and one without a letter go; repeated rows stay or go alike; of an empty table
-    nothing is learnt and nothing stays. All columns pass, whatever their names.
+    A word has a language if it is likelier there than in none: numbers, keys, noise and languages not learnt
+    count as words without one, signs alone as no words. A null or empty text and one without a letter go;
+    repeated rows stay or go alike; of an empty table nothing is learnt and nothing stays. All columns pass,
+    whatever their names.
     """
     small_batches(spark)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))

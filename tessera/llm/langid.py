@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import tidy
-from tessera.llm.textkit import SLICE_BYTES, slices, text_buffers
+from tessera.llm.textkit import SLICE_BYTES, Words, slices, text_buffers
 
 CODES = 1 << 16
 ROUNDS = 12
@@ -92,11 +92,14 @@ class MixtureModel:
         like = np.log((odds * weight[row]).sum(axis=1) + np.float32(1e-30)).astype(np.float64) + base
         return weight, np.add.reduceat(like, first)
 
-    def infer(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which rows have words, and their proportions of each language, zero outside the chosen set.
+    def infer(self, data: np.ndarray, offsets: np.ndarray, blanks: Words | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Which rows have words, their proportions of each language, zero outside the chosen set, and the share of ``blanks`` that is explained.
 
         Each word is of one language; EM gives the proportions. From the full set the least language
         goes as long as that raises the likelihood less half a log of the words for each language.
+        The proportions add up to 1 whatever the text is. So each word of ``blanks``, the words between blanks
+        of the same rows, is held against no language, where all n-grams are alike: it is explained if
+        its letters are likelier in a language of the set. Numbers are not; signs alone are no words.
         """
         code, inside, _ = trigram_codes(data, offsets)
         edge = np.empty(len(inside) + 1, dtype=bool)
@@ -106,7 +109,7 @@ class MixtureModel:
         start = np.flatnonzero(inside & edge[:-1])
         row = np.searchsorted(offsets, start, side="right") - 1
         if not len(start):
-            return np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32)
+            return np.zeros(0, np.int64), np.zeros((0, len(self.langs)), np.float32), np.zeros(0)
         score = self.log[code[inside]]
         place = np.cumsum(inside)[start] - 1
         score = np.add.reduceat(score, place, axis=0)
@@ -137,7 +140,14 @@ class MixtureModel:
             at = open_[better]
             allowed[at], weight[at], like[at] = fewer[better], trial[better], value[better]
             open_ = at
-        return docs, weight
+        if blanks is None:
+            return docs, weight, None
+        gain = score + (np.diff(np.append(place, inside.sum())) * np.log(CODES)).astype(np.float32)[:, None]
+        word = np.searchsorted(blanks.start, start, side="right")
+        head = np.flatnonzero(np.diff(word, prepend=0))
+        gain = np.where(allowed[dense[head]] > 0, np.add.reduceat(gain, head, axis=0), -np.inf).max(axis=1)
+        real = np.logical_or.reduceat(inside | ((data >= 48) & (data <= 57)), blanks.start)
+        return docs, weight, np.bincount(dense[head], gain > 0) / np.bincount(blanks.row[real])[docs]
 
     @staticmethod
     def _words(first: np.ndarray, size: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,8 +162,8 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mi
     return MixtureModel(counts(docs, text_col, lang_col).toPandas())
 
 
-def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
-    """Language, score, language set and the summed share of that set for each text."""
+def _judged(model: MixtureModel, column: pa.Array, explain: bool = False) -> tuple[list[str], np.ndarray, list[str], np.ndarray]:
+    """Language, score, language set and, with ``explain``, the share of words that a language of that set explains, for each text."""
     data, offsets = text_buffers(column)
     pred, score, sets, whole = ["und"] * len(column), np.zeros(len(column)), [""] * len(column), np.zeros(len(column))
     limit = max(1 << 16, 4 * SLICE_BYTES // max(4, len(model.langs)))  # a number for each byte and language
@@ -161,13 +171,15 @@ def _judged(model: MixtureModel, column: pa.Array) -> tuple[list[str], np.ndarra
         part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         letters = np.concatenate([[0], np.cumsum(_ASCII_LETTER[part])])
         plain = letters[at[1:]] > letters[at[:-1]]
-        rows, weight = model.infer(part, at)
+        blanks = Words(data, offsets, i, j) if explain else None
+        rows, weight, share = model.infer(part, at, blanks)
+        if explain:
+            whole[i + rows] = share
         order = np.argsort(-weight, axis=1, kind="stable")
         for r, w, o in zip(rows.tolist(), weight.tolist(), order.tolist(), strict=True):
             if plain[r] or any(c.isalpha() for c in bytes(part[at[r] : at[r + 1]]).decode()):
                 pred[i + r], score[i + r] = model.langs[o[0]], min(1.0, w[o[0]])
                 sets[i + r] = ",".join(f"{model.langs[k]}:{w[k]:.4f}" for k in o if w[k] > 0)
-                whole[i + r] = sum(w)
     return pred, score, sets, whole
 
 
@@ -192,9 +204,10 @@ def identify(docs: DataFrame, model: MixtureModel, id_col: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text has languages: those of its chosen set together have a share of ``least`` or more of the words.
+    """The rows of docs, with all their columns, whose text has languages: those of its chosen set explain a share of ``least`` or more of the words between blanks.
 
-    However many languages a text has, it stays; what goes is ``und``, or has words that no chosen language explains.
+    However many languages a text has, it stays; what goes is ``und``, or has more words that no chosen
+    language explains (``MixtureModel.infer``): numbers, keys, noise, scripts and languages not learnt.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
@@ -202,7 +215,7 @@ def keep(docs: DataFrame, model: MixtureModel, least: float = 0.5, text_col: str
     @tidy
     def run(batches):
         for batch in batches:
-            pred, _, _, whole = _judged(shared.value, batch.column(place))
+            pred, _, _, whole = _judged(shared.value, batch.column(place), explain=True)
             yield batch.filter(pa.array([p != "und" and w >= least for p, w in zip(pred, whole.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
